@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_maximal_repeats")
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicate_components
+
+    return near_duplicate_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeated_windows
 
@@ -18,9 +30,45 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+#: Repeats of at least 10 words cover what repeated 10-word windows cover; a repeat of over 100 words is a repeated 101-word window.
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, sum(n - 1) AS d FROM (
+            SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+g3 AS (SELECT doc_id, p, array_to_string(ws[p:p + 2], ' ') AS g FROM w, unnest(range(1, len(ws) - 1)) AS t(p)),
+g10 AS (SELECT doc_id, p, array_to_string(ws[p:p + 9], ' ') AS g FROM w, unnest(range(1, len(ws) - 8)) AS t(p)),
+g101 AS (SELECT doc_id, md5(array_to_string(ws[p:p + 100], ' ')) AS g FROM w, unnest(range(1, len(ws) - 99)) AS t(p)),
+r3 AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g3), range(3) AS t(k) WHERE c > 1 GROUP BY doc_id),
+r10 AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g10), range(10) AS t(k) WHERE c > 1 GROUP BY doc_id),
+r101 AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, g FROM g101 GROUP BY ALL HAVING count(*) > 1)),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r3.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(coalesce(r10.n, 0) AS BIGINT) AS n_covered_words, r101.doc_id IS NOT NULL AS too_long
+      FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN r3 USING (doc_id) LEFT JOIN r10 USING (doc_id) LEFT JOIN r101 USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 30 * n_words AND NOT too_long AS kept
+FROM b
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g FROM w, unnest(range(1, greatest(2, len(ws) - 3))) AS t(p) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.y) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY ALL
+"""
+
 OP10_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS g
@@ -36,5 +84,7 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
