@@ -23,6 +23,20 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list stands in for a block list: the urls of every fiftieth page."""
+    from .urlfilter import url_verdicts
+
+    pages = _table(spark, sf_dir, "pages")
+    return url_verdicts(pages, pages.filter("page_id % 50 = 0").select("url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_spans, span_digests
+
+    return span_digests(secret_spans(_table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_sequences
 
@@ -38,6 +52,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_url_filters": op4_url_filters,
+    "op5_secret_scans": op5_secret_scans,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -76,6 +92,23 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.y) AS
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY ALL
 """
 
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') END AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE page_id % 50 = 0 AND canonical IS NOT NULL),
+r AS (SELECT page_id, host, path, l.canonical IS NOT NULL AS listed,
+        CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+             WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+             WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+             WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+             WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+      FROM c LEFT JOIN l ON c.canonical = l.canonical)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
 OP10_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS g
@@ -93,5 +126,6 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op3_ngram_jaccard_join": OP3_SQL,
+    "op4_url_filters": OP4_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
