@@ -4,8 +4,8 @@
    ``gram``-word runs inside a window: equal windows share it, and distinct starts of one
    window have distinct minimiser starts, so a minimiser's count is never below the
    window's). The partitions' sparse sketches are summed per sketch chunk.
-2. Windows whose estimate is two or more go on to an exact grouping by a 96-bit hash of
-   the window; each start but the first is marked. A window estimated once occurs once,
+2. Windows whose estimate is two or more go on to an exact grouping by 128 bits (the
+   minimiser's hash and the window's own); each start but the first is marked. A window estimated once occurs once,
    so nothing is lost.
 
 Hot windows: a task keeps only its own first start of a window for the grouping and marks
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +120,11 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[at], pos[at], np.diff(np.concatenate([at, [len(doc)]]))
 
 
-def _packed(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """One row a document: its marked window starts, as runs of (start, length)."""
+def _run_rows(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(doc):
-        return pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc", "spans"])
+        return doc, pos, pos
     order = np.lexsort((pos, doc))
-    d, p, n = _runs(doc[order], pos[order])
-    cut = np.flatnonzero(np.diff(d)) + 1
-    pairs = np.column_stack([p, n]).astype("<i8")
-    return pa.record_batch([pa.array(d[np.concatenate([[0], cut])], pa.int64()), pa.array([x.tobytes() for x in np.split(pairs, cut)], pa.binary())], ["doc", "spans"])
+    return _runs(doc[order], pos[order])
 
 
 def _tag(raw: bytes) -> int:
@@ -135,40 +132,42 @@ def _tag(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "little")
 
 
-def _first_marks(h1, h2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
+def _first_marks(m, h, doc, pos) -> tuple[np.ndarray, np.ndarray]:
     """Sort order by window, then start; and which sorted rows start later than their window's first."""
-    order = np.lexsort((pos, doc, h2, h1))
-    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-    new = np.ones(len(h1), bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+    order = np.lexsort((pos, doc, h, m))
+    m, h, doc, pos = m[order], h[order], doc[order], pos[order]
+    new = np.ones(len(m), bool)
+    new[1:] = (m[1:] != m[:-1]) | (h[1:] != h[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
     return order, (doc != doc[head]) | (pos != pos[head])
 
 
 def _candidates(shared, window: int, gram: int):
+    """Windows estimated repeated, dealt by minimiser so that a passage's windows stay together (``run`` 0),
+    and runs of starts that the task itself knows to be later ones (``run``: their number)."""
+    names = ["m", "h", "doc", "pos", "run"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         width = int(bits.shape[1] * 8).bit_length() - 1
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*held))
+            m, h, doc, pos = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order, later = _first_marks(h1, h2, doc, pos)
-            one = order[~later]
-            # equal (id, start) of a repeated row: one row is enough for the grouping
-            yield pa.record_batch([pa.array(h1[one].view(np.int64)), pa.array(h2[one]), pa.array(doc[one]), pa.array(pos[one]), pa.nulls(len(one), pa.binary())], ["h1", "h2", "doc", "pos", "spans"])
-            p = _packed(doc[order[later]], pos[order[later]])
-            d = p.column(0)
-            yield pa.record_batch([pa.array(mix(d.to_numpy().view(np.uint64)).view(np.int64)), pa.array(np.zeros(len(d), np.int32)), d, pa.array(np.zeros(len(d), np.int64)), p.column(1)], ["h1", "h2", "doc", "pos", "spans"])
+            order, later = _first_marks(m, h, doc, pos)
+            one = np.sort(order[~later])
+            yield pa.record_batch([pa.array(x) for x in (m[one].view(np.int64), h[one].view(np.int64), doc[one], pos[one], np.zeros(len(one), np.int32))], names)
+            d, p, n = _run_rows(doc[order[later]], pos[order[later]])
+            yield pa.record_batch([pa.array(x) for x in (mix(d.view(np.uint64)).view(np.int64), np.zeros(len(d), np.int64), d, p, n.astype(np.int32))], names)
 
         for batch in batches:
             for part, data, off in slices(batch, "text"):
                 w = split_words(data, off)
-                pos, _, h = minimisers(w, window, gram)
+                pos, _, least = minimisers(w, window, gram)
                 keep = np.ones(len(pos), bool)
                 for row in range(len(ROWS)):
-                    s = _slot(h, row, width)
+                    s = _slot(least, row, width)
                     keep &= (bits[row, s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
                 if not keep.any():
                     continue
@@ -178,9 +177,7 @@ def _candidates(shared, window: int, gram: int):
                 docs_hit = np.unique(d)
                 tag = np.zeros(len(ids), np.int64)
                 tag[docs_hit] = [_tag(data[off[i] : off[i + 1]].tobytes()) << 40 for i in docs_hit]
-                _, h1 = grams(w, window)
-                _, h2 = grams(w, window, 1)
-                held.append((h1[keep], (h2[keep] >> np.uint64(33)).astype(np.int32), ids[d], hit - w.first[d] + tag[d]))
+                held.append((least[keep], grams(w, window)[1][keep], ids[d], hit - w.first[d] + tag[d]))
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield from out()
         if held:
@@ -190,17 +187,17 @@ def _candidates(shared, window: int, gram: int):
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact grouping of what one shuffle partition holds."""
+    """Exact grouping of what one shuffle partition holds: runs of later starts."""
     got: list[pa.RecordBatch] = []
     for b in batches:
-        done = b.filter(b.column("spans").is_valid())
-        if done.num_rows:
-            yield pa.record_batch([done.column("doc"), done.column("spans")], ["doc", "spans"])
-        got.append(b.select(["h1", "h2", "doc", "pos"]).filter(b.column("spans").is_null()))
+        done = pa.compute.greater(b.column("run"), 0)
+        yield b.select(["doc", "pos", "run"]).filter(done)
+        got.append(b.select(["m", "h", "doc", "pos"]).filter(pa.compute.invert(done)))
     if got:
-        h1, h2, doc, pos = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
-        order, later = _first_marks(h1, h2, doc, pos)
-        yield _packed(doc[order[later]], pos[order[later]])
+        m, h, doc, pos = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
+        order, later = _first_marks(m, h, doc, pos)
+        d, p, n = _run_rows(doc[order[later]], pos[order[later]])
+        yield pa.record_batch([pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(n.astype(np.int32))], ["doc", "pos", "run"])
 
 
 def _clean(window: int, with_text: bool):
@@ -213,12 +210,11 @@ def _clean(window: int, with_text: bool):
                 words = raw.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 if spans.is_valid and len(spans):
-                    tag = _tag(raw)
-                    s = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in spans.values])
-                    s = s[s[:, 0] >> 40 == tag]
-                    p = s[:, 0] & ((1 << 40) - 1)
-                    np.add.at(gone, p, 1)
-                    np.add.at(gone, p + s[:, 1] - 1 + window, -1)
+                    pos, run = (spans.values.field(k).to_numpy().astype(np.int64) for k in ("pos", "run"))
+                    own = pos >> 40 == _tag(raw)
+                    pos, run = pos[own] & ((1 << 40) - 1), run[own]
+                    np.add.at(gone, pos, 1)
+                    np.add.at(gone, pos + run - 1 + window, -1)
                     off_words = np.cumsum(gone)[:-1] > 0
                     left = b" ".join([x for x, g in zip(words, off_words.tolist()) if not g])
                     n_removed.append(int(off_words.sum()))
@@ -249,10 +245,10 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
         sketch_bits = min(max_sketch_bits, max(CHUNK_BITS, (chars // 4).bit_length()))
     bits = repeated_bits(rows, max(CHUNK_BITS, sketch_bits), window, gram)
     shared = spark.sparkContext.broadcast(bits)
-    found = rows.mapInArrow(_candidates(shared, window, gram), "h1 long, h2 int, doc long, pos long, spans binary")
+    found = rows.mapInArrow(_candidates(shared, window, gram), "m long, h long, doc long, pos long, run int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = found.repartition(parts, "h1").mapInArrow(_later, "doc long, spans binary")
-    marks = marks.groupBy("doc").agg(F.collect_list("spans").alias("marks"))
+    marks = found.repartition(parts, "m").mapInArrow(_later, "doc long, pos long, run int")
+    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("pos", "run")).alias("marks"))
     joined = rows.join(marks, "doc", "left").select("doc", "text", "marks")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     done = joined.mapInArrow(_clean(window, with_text), schema)
