@@ -59,11 +59,19 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    total: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the words of over n bytes, and hashes of their first n bytes."""
+        at = np.flatnonzero(self.end - self.start > n)
+        s = self.start[at]
+        h = (self.total[s + n] - self.total[s]) * powers(inverse(_BASE), len(self.data))[s]
+        return at, mix(h ^ mix(np.full(1, n, _U)))
+
 
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all strings in a row and the n + 1 offsets; null is empty."""
@@ -76,13 +84,13 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def split_words(data: np.ndarray, off: np.ndarray, fold: bool = False) -> Words:
-    """Words of the documents that ``off`` delimits in ``data``; ``fold`` hashes A-Z as a-z."""
+def split_words(data: np.ndarray, off: np.ndarray, fold: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """Words of the documents that ``off`` delimits in ``data``; ``fold`` hashes A-Z as a-z; ``space``: bytes between words."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return Words(data, off, z, z, z, np.zeros(0, _U), np.zeros(len(off), np.int64))
-    inside = ~_SPACE[data]
+        return Words(data, off, z, z, z, np.zeros(0, _U), np.zeros(len(off), np.int64), np.zeros(1, _U))
+    inside = ~space[data]
     edge = np.ones(n + 1, bool)
     edge[1:-1] = ~inside[:-1]
     starts = inside & edge[:-1]
@@ -101,7 +109,7 @@ def split_words(data: np.ndarray, off: np.ndarray, fold: bool = False) -> Words:
     h = (total[end] - total[start]) * powers(inverse(_BASE), n)[start]
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return Words(data, off, start, end, doc, mix(h + (end - start).astype(_U)), first)
+    return Words(data, off, start, end, doc, mix(h + (end - start).astype(_U)), first, total)
 
 
 def grams(w: Words, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
