@@ -12,7 +12,7 @@ e tokens shares K - e blocks with each partner, and may drop its K - e - 1 most
 (empty blocks first) in one global order, since the rarest shared block is never among them.
 
 Groups of equal parities are joined in two steps, neither of which makes all pairs:
-first every member with the group's least class; then, in groups that still hold several
+first every member with the group's least and greatest class; then, in groups that still hold several
 components, blocks of at most ``CHUNK`` members are compared with each other by a second
 sketch of 512 parity bits, and only pairs of different components within the Hamming bound
 go on. Both steps verify on the exact shingle sets.
@@ -213,10 +213,15 @@ def _verify(percent: int):
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components within the Hamming bound, block by block; rows come sorted by block."""
-    left = None
+    left, found = None, []
     names = ["cls", "label", "n", *[f"s{i}" for i in range(BITS // 64)]]
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:  # groups overlap: a task sends a pair once
+        u = np.unique(np.concatenate(found), axis=0)
+        found.clear()
+        return pa.record_batch([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], ["a", "b"])
+
+    def pairs(t: pa.Table) -> None:
         side = t.column("side").to_numpy()
         cols = [t.column(c).to_numpy() for c in names]
         sk = np.column_stack(cols[3:]).view(_U)
@@ -230,10 +235,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = (far <= (n[i][:, None] + n[b][None, :]) // 9) & (label[i][:, None] != label[b][None, :])
             p, q = np.nonzero(near)
             x, y = cls[i[p]], cls[b[q]]
-            lo, hi = np.minimum(x, y), np.maximum(x, y)
-            u = np.unique(np.column_stack([lo, hi]), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-            if len(u):
-                yield pa.record_batch([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], ["a", "b"])
+            if len(x):
+                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -242,10 +245,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         edges = [0, *cut.tolist()]
         for x, y in zip(edges[:-1], edges[1:]):
-            yield from pairs(t.slice(x, y - x))
+            pairs(t.slice(x, y - x))
         left = t.slice(edges[-1])
+        if sum(map(len, found)) > 1_000_000:
+            yield out()
     if left is not None and left.num_rows:
-        yield from pairs(left)
+        pairs(left)
+    if found:
+        yield out()
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -286,8 +293,9 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     kept = ranked.filter(F.col("rank") > F.when(F.col("band") == F.col("own"), F.col("spare0")).otherwise(F.col("spare1"))).select("key", "cls")
     kept = written(kept, "kept-groups")
 
-    lead = kept.groupBy("key").agg(F.min("cls").alias("a"))
-    star = kept.join(lead, "key").filter("a < cls").select("a", F.col("cls").alias("b")).distinct()
+    leads = kept.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most")
+    star = kept.join(leads, "key").select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("cls").alias("b")), F.struct(F.col("cls").alias("a"), F.col("most").alias("b")))).alias("p"))
+    star = star.select("p.a", "p.b").filter("a < b").distinct()
 
     def sketches(side: str) -> DataFrame:
         return per_class.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), *[F.col(c).alias(f"{c}{side}") for c in bits])
