@@ -1,15 +1,70 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, secret scans, packing."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all of docs. Stages 1-4 return the columns
+of documents; run() writes each stage's rows to the shared folder and reads them again.
+Rows that repeat an id are one document: they stay or go together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.llm.common import written
+from tidewheel.llm.decontam import contaminated_passages
+from tidewheel.llm.jaccard import near_duplicate_components
+from tidewheel.llm.packing import pack_sequences
+from tidewheel.llm.quality import keep_quality
+from tidewheel.llm.secrets import redact, secret_spans
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near duplicates, and all that are in none."""
+    again = near_duplicate_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(again, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = contaminated_passages(docs, benchmark).select("doc_id").filter("doc_id is not null").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark, n_chars kept in step."""
+    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    found = secret_spans(rows, keep=("row",))
+    text = redact(F.col("row")["text"], F.col("all_spans"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("all_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack_sequences(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secrets),
+    ("packing", packing),
+]
+#: Edit verification and tokenisation are not for SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,8 @@ that share a key with an item are verified by their exact edit distance (Myers'
 ``recall`` of the sampling at the distance limit is measured in the tests.
 
 Before embedding, windows that cannot match are set aside without loss: a passage within k
-edits of an item starts with a benchmark word and holds at most k words that are none.
+edits of an item starts with a benchmark word, holds at most k words that are none, and, as an
+edit touches two word pairs, at most 2 k word pairs that no item has.
 
 The item tables are broadcast in blocks of at most ``block_items`` items (a pass over the
 documents for each), so a broadcast has a fixed bound. Documents are not shuffled.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import Words, flat, mix, slices, split_words
+from .words import Words, flat, grams, mix, slices, split_words
 
 _U = np.uint64
 _BETWEEN = np.ones(256, bool)
@@ -45,7 +46,7 @@ def words_of(data: np.ndarray, off: np.ndarray) -> Words:
 def walks(words: np.ndarray, steps: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Keys (rows x repeats) of word windows (rows x length, 0 beyond an end).
 
-    ``steps``: for each repeat, the sampled steps in order; a walk has twice the window's steps.
+    ``steps``: for each repeat, the sampled steps in order.
     """
     n, m = words.shape
     out = np.empty((n, len(seeds)), _U)
@@ -98,6 +99,8 @@ class Items:
         self.ids, self.percent = ids, percent
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
         self.vocabulary = np.unique(np.concatenate([x for x in self.words if len(x) >= min_words] or [np.zeros(0, _U)]))
+        pos, pair = grams(w, 2)
+        self.pairs = np.unique(pair)
         self.classes = []
         rng = np.random.default_rng(77)
         lo, longest = min_words, max([len(x) for x in self.words], default=0)
@@ -105,30 +108,42 @@ class Items:
             hi = max(lo, int(lo * 1.3) - 1)
             members = np.array([i for i, x in enumerate(self.words) if lo <= len(x) <= hi], np.int64)
             seeds = mix(np.arange(repeats, dtype=_U) + _U(lo << 20) + _U(1))
-            steps = np.sort(np.array([rng.choice(2 * lo, coordinates, replace=False) for _ in range(repeats)]), axis=1)
+            steps = np.sort(np.array([rng.choice(lo, coordinates, replace=False) for _ in range(repeats)]), axis=1)
             if len(members):
                 keys = walks(np.array([self.words[i][:lo] for i in members]), steps, seeds).T  # repeats x items
                 order = np.argsort(keys, axis=1)
                 self.classes.append((lo, hi, percent * hi // 100, steps, seeds, np.take_along_axis(keys, order, axis=1), members[order]))
             lo = hi + 1
 
-    def starts(self, w: Words, known: np.ndarray, lo: int, edits: int) -> np.ndarray:
+    def unknown(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Benchmark words, and running counts of words and of word pairs (by their first word) that are none."""
+
+        def known(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+            return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+
+        word = known(w.hash, self.vocabulary)
+        pair = np.zeros(len(w.hash), bool)
+        pos, h = grams(w, 2)
+        both = word[pos] & word[np.minimum(pos + 1, len(word) - 1)]
+        pair[pos[both]] = known(h[both], self.pairs)
+        return word, np.concatenate([[0], np.cumsum(~word)]), np.concatenate([[0], np.cumsum(~pair)])
+
+    def starts(self, w: Words, word: np.ndarray, words_off: np.ndarray, pairs_off: np.ndarray, lo: int, edits: int) -> np.ndarray:
         """Words where a passage near an item of the class can start."""
-        unknown = np.concatenate([[0], np.cumsum(~known)])
-        p = np.flatnonzero(known)
-        stop = w.first[1:][w.doc[p]]
+        p = np.flatnonzero(word)
         least = lo - self.percent * lo // 100
-        short = p + least <= stop
-        p, stop = p[short], stop[short]
-        return p[unknown[p + least] - unknown[p] <= edits]
+        p = p[p + least <= w.first[1:][w.doc[p]]]
+        p = p[words_off[p + least] - words_off[p] <= edits]
+        return p[pairs_off[p + least - 1] - pairs_off[p] <= 2 * edits]
 
     def search(self, w: Words) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, distance): the nearest passage of each document for each item."""
-        at = np.minimum(np.searchsorted(self.vocabulary, w.hash), max(0, len(self.vocabulary) - 1))
-        known = self.vocabulary[at] == w.hash if len(self.vocabulary) else np.zeros(len(w.hash), bool)
+        if not self.classes or not len(w.hash):
+            return
+        unknown = self.unknown(w)
         best: dict[tuple[int, int], tuple] = {}
         for lo, hi, edits, steps, seeds, keys, members in self.classes:
-            found = self.starts(w, known, lo, edits)
+            found = self.starts(w, *unknown, lo, edits)
             for a in range(0, len(found), 4096):
                 p = found[a : a + 4096]
                 grid = p[:, None] + np.arange(lo)
@@ -168,7 +183,7 @@ def _search(shared):
     return run
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 15, min_words: int = 5, repeats: int = 24, coordinates: int = 3, block_items: int = 20_000) -> DataFrame:
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 15, min_words: int = 5, repeats: int = 16, coordinates: int = 3, block_items: int = 20_000) -> DataFrame:
     """One row per document and item that it holds within ``percent`` % word edits: id, item_id, start, length (words), item_words, distance."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")

@@ -120,28 +120,33 @@ def duplicate_lines(data: np.ndarray, off: np.ndarray, words: np.ndarray) -> np.
     return np.bincount(doc[1:][again], minlength=docs)
 
 
+def figures(data: np.ndarray, off: np.ndarray, min_repeat: int, max_percent: int, max_longest: int) -> list[np.ndarray]:
+    """The columns of SCHEMA after the id, for one slice."""
+    w = split_words(data, off)
+    word = np.zeros(len(data) + 1, np.int8)
+    word[w.start] += 1
+    word[w.end] -= 1
+    word = np.cumsum(word[:-1], dtype=np.int8) > 0
+    n = w.counts
+    best = longest_repeats(w)
+    rep = _covered(w, np.flatnonzero(best >= 3), 3)
+    long = np.flatnonzero(best >= min_repeat)
+    cover = _covered(w, long, best[long])
+    longest = np.zeros(len(n), np.int64)
+    np.maximum.at(longest, w.doc, best)
+    # a maximal repeat starts where the repeat from the word before is no longer by one
+    back = np.maximum(long - 1, 0)
+    starts = long[(long == 0) | (best[back] != best[long] + 1) | (w.doc[back] != w.doc[long])]
+    failed = (n < 50) | (100 * rep > 50 * n)
+    kept = ~failed & (100 * cover <= max_percent * n) & (longest <= max_longest)
+    return [n, _sums(word & ((data & 0xC0) != 0x80), off), _sums(_SYMBOL[data], off), duplicate_lines(data, off, word), rep, failed, cover, longest, np.bincount(w.doc[starts], minlength=len(n)), kept]
+
+
 def _judge(min_repeat: int, max_percent: int, max_longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in slices(batch, "text"):
-                w = split_words(data, off)
-                word = np.zeros(len(data) + 1, np.int8)
-                word[w.start] += 1
-                word[w.end] -= 1
-                word = np.cumsum(word[:-1], dtype=np.int8) > 0
-                n = w.counts
-                best = longest_repeats(w)
-                threes = np.flatnonzero(best >= 3)
-                rep = _covered(w, threes, 3)
-                long = np.flatnonzero(best >= min_repeat)
-                cover = _covered(w, long, best[long])
-                longest = np.zeros(len(n), np.int64)
-                np.maximum.at(longest, w.doc, best)
-                # a maximal repeat starts where the repeat from the word before is no longer by one
-                starts = long[(long == 0) | (best[np.maximum(long - 1, 0)] != best[long] + 1) | (w.doc[np.maximum(long - 1, 0)] != w.doc[long])]
-                failed = (n < 50) | (100 * rep > 50 * n)
-                kept = ~failed & (100 * cover <= max_percent * n) & (longest <= max_longest)
-                cols = [n, _sums(word & ((data & 0xC0) != 0x80), off), _sums(_SYMBOL[data], off), duplicate_lines(data, off, word), rep, failed, cover, longest, np.bincount(w.doc[starts], minlength=len(n)), kept]
+                cols = figures(data, off, min_repeat, max_percent, max_longest)
                 yield pa.record_batch([part.column("doc"), *[pa.array(c) for c in cols]], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
@@ -158,3 +163,17 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_judge(min_repeat, max_percent, max_longest), SCHEMA).withColumnRenamed("doc", id_col)
+
+
+def _kept(text: str, min_repeat: int, max_percent: int, max_longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in slices(batch, text):
+                yield part.filter(pa.array(figures(data, off, min_repeat, max_percent, max_longest)[-1]))
+
+    return run
+
+
+def keep_quality(docs: DataFrame, *, text_col: str = "text", min_repeat: int = 10, max_percent: int = 30, max_longest: int = 100) -> DataFrame:
+    """The input rows that ``quality_rules`` keeps, with all their columns and without a shuffle."""
+    return docs.mapInArrow(_kept(text_col, min_repeat, max_percent, max_longest), docs.schema)
