@@ -1 +1 @@
-
+"""Column functions: text, URLs, signals, offers, vectors."""

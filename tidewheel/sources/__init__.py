@@ -1 +1 @@
-
+"""Landed feed records as payload rows."""
