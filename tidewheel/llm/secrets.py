@@ -115,7 +115,7 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, min_ratio: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, min_ratio: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, the columns in ``keep``, ``base`` and ``all_spans`` (start, rank, end, kind, found)."""
     ratios = log_ratios(docs, id_col, text_col, sample_docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
