@@ -159,5 +159,8 @@ def dedup(candidates: DataFrame, fingerprints: DataFrame, offers: DataFrame, *,
     semantic = F.col("basis") == "semantic"
     done = done.join(near, "position", "left").withColumn("blame", F.when(semantic, F.col("near.by")).otherwise(F.col("blame")))
     blamed = rows.select(F.col("position").alias("blame"), F.col("id").alias("existing_offer_id"))
-    out = done.join(blamed, "blame", "left")
-    return out.select("id", (~F.col("accepted")).alias("is_dup"), "basis", "existing_offer_id", F.when(semantic, F.round("near.similarity", 4)).alias("similarity"))
+    # of several known offers with the title the oldest is named
+    oldest = title_gate(candidates, fingerprints, offers, as_of=as_of, days=days).withColumnRenamed("existing_offer_id", "oldest")
+    out = done.join(blamed, "blame", "left").join(oldest, "id", "left")
+    existing = F.when(F.col("basis") == "title", F.coalesce("oldest", "existing_offer_id")).otherwise(F.col("existing_offer_id"))
+    return out.select("id", (~F.col("accepted")).alias("is_dup"), "basis", existing.alias("existing_offer_id"), F.when(semantic, F.round("near.similarity", 4)).alias("similarity"))
