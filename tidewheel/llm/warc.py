@@ -136,11 +136,11 @@ class WarcReader(DataSourceReader):
             names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith((".warc", ".warc.gz"))]
         return [FilePartition(f"{self.path.rstrip('/')}/{n}") for n in sorted(names)]
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePartition | None) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
         rows, held = [], 0
-        for row in self.rows(partition.path):
+        for row in self.rows(partition.path) if partition is not None else ():  # no files: no partition is planned
             rows.append(row)
             held += len(row[-1] or b"") + 300
             if held > 8 << 20:
