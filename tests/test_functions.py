@@ -172,3 +172,11 @@ def test_cosine(spark, a, b, want):
 def test_patterns_are_java_and_python():
     for _, p in V.SIGNALS:
         re.compile(p)
+
+
+def test_category_prompts(spark):
+    df = spark.createDataFrame([(1, "llm", "models"), (0, "cloud", "credits"), (2, "a_rather_long_key", "x")], "position int, key string, description string")
+    assert O.category_prompt_block(df).first().block == "cloud           — credits\nllm             — models\na_rather_long_key — x"
+    assert O.category_prompt_csv(df).first().keys == "cloud, llm, a_rather_long_key"
+    assert O.category_prompt_csv(O.taxonomy(spark)).first().keys.startswith("cloud, llm, llm_api_drop, hosting")
+    assert [tuple(r) for r in O.taxonomy_differences(df, df.filter("key <> 'llm'")).collect()] == [("llm", "left")]

@@ -135,3 +135,22 @@ def validate_offers(df: DataFrame, json_col: str) -> DataFrame:
         _flag(o["eligibility_required"]).alias("eligibility_required"),
     )
     return parsed.withColumn("reject_reasons", reasons).withColumn("offer", F.when(F.size("reject_reasons") == 0, offer)).drop("__reply")
+
+
+def category_prompt_block(categories: DataFrame) -> DataFrame:
+    """One row ``block``: a line for each category (position, key, description), keys padded to 15."""
+    line = F.concat(F.when(F.length("key") < 15, F.rpad("key", 15, " ")).otherwise(F.col("key")), F.lit(" — "), F.col("description"))
+    lines = categories.agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
+    return lines.select(F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("block"))
+
+
+def category_prompt_csv(categories: DataFrame) -> DataFrame:
+    """One row ``keys``: all category keys in order."""
+    keys = categories.agg(F.array_sort(F.collect_list(F.struct("position", "key"))).alias("keys"))
+    return keys.select(F.array_join(F.transform("keys", lambda x: x["key"]), ", ").alias("keys"))
+
+
+def taxonomy_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Keys that only one of two taxonomies has: (key, side)."""
+    a, b = left.select("key"), right.select("key")
+    return a.subtract(b).withColumn("side", F.lit("left")).union(b.subtract(a).withColumn("side", F.lit("right")))
