@@ -1,8 +1,8 @@
 """Secret scans: fixed rules, and two character Markov models compared by log-likelihood ratio.
 
 Built-in functions only. The models (first order, over 64 character classes) are fitted on
-a labelled sample of at most ``sample_docs`` documents: strings that the fixed rules find
-there are random strings, the other words ordinary identifiers. Every whole text is then
+labelled samples of bounded size: strings that the fixed rules find in ``sample_docs`` documents
+are random strings, other words of ``word_docs`` documents, shorter than a token to judge, ordinary identifiers. Every whole text is then
 scanned in one pass without a shuffle: long tokens whose mean log-likelihood ratio a
 transition exceeds ``min_ratio`` are added to the spans of the fixed rules.
 
@@ -77,26 +77,33 @@ def _class(c: Column) -> Column:
     return F.when(n == 0, SIZE - 1).otherwise(n - 1)
 
 
-def log_ratios(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> list[float]:
+def log_ratios(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, word_docs: int) -> list[float]:
     """log P(second | first, random) - log P(second | first, ordinary) for all pairs of classes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col).alias("__h")).filter("__id is not null").distinct().orderBy("__h", "__id").limit(sample_docs)
-    sample = docs.select(F.col(id_col).alias("__id"), text.alias("text")).join(F.broadcast(ids.select("__id")), "__id", "left_semi")  # sample_docs ids at most
-    spans = base_spans(F.col("text"))
-    marked = sample.select("text", spans.alias("spans"))
+    ids = docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col).alias("__h")).filter("__id is not null").distinct()
+
+    def sample(n: int) -> DataFrame:
+        least = ids.orderBy("__h", "__id").limit(n).select("__id")
+        return docs.select(F.col(id_col).alias("__id"), text.alias("text")).join(F.broadcast(least), "__id", "left_semi").select("text")  # n ids at most
+
+    found = sample(sample_docs).select(base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
+    one = found.select(F.explode(_pairs(F.transform("spans", _secret))).alias("pair"), F.lit(0).alias("label"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), KINDS["assign"], " "), _QUICK["access"], " "), _QUICK["hex"], " ")
-    words = F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_+/-]{4,}"), F.lit(0))
-    strings = marked.select(_pairs(F.transform("spans", _secret)).alias("random"), _pairs(words).alias("word"))
-    one = strings.select(F.explode("random").alias("pair"), F.lit(0).alias("label"))
-    two = strings.select(F.explode("word").alias("pair"), F.lit(1).alias("label"))
+    every = F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_+/-]{4,}"), F.lit(0))
+    words = sample(word_docs).select(F.filter(every, lambda w: F.length(w) < 20).alias("words"))  # longer ones are what is to be judged
+    two = words.select(F.explode(_pairs(F.col("words"))).alias("pair"), F.lit(1).alias("label"))
     counted = one.union(two).groupBy("label", "pair").count().collect()  # at most 2 * SIZE ** 2 rows
-    count = [[1.0] * (SIZE * SIZE) for _ in range(2)]
+    count = [[0.0] * (SIZE * SIZE) for _ in range(2)]
     for label, pair, n in counted:
         count[label][pair] += n
-    if all(r[0] == 1 for r in counted):
+    if {r[0] for r in counted} != {0, 1}:
         return [0.0] * (SIZE * SIZE)
-    total = [[sum(c[i * SIZE : (i + 1) * SIZE]) for i in range(SIZE)] for c in count]
-    return [math.log(count[0][p] / total[0][p // SIZE]) - math.log(count[1][p] / total[1][p // SIZE]) for p in range(SIZE * SIZE)]
+    table = []
+    for c in count:  # a pair's share after its first class, smoothed by the second class' own share
+        single = [sum(c[j::SIZE]) + 1 for j in range(SIZE)]
+        total = [sum(c[i * SIZE : (i + 1) * SIZE]) for i in range(SIZE)]
+        table.append([(c[p] + 8 * single[p % SIZE] / sum(single)) / (total[p // SIZE] + 8) for p in range(SIZE * SIZE)])
+    return [math.log(r) - math.log(w) for r, w in zip(*table)]
 
 
 def model_spans(text: Column, base: Column, ratios: list[float], min_ratio: float) -> Column:
@@ -115,9 +122,9 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, min_ratio: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, word_docs: int = 1_000, min_ratio: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, the columns in ``keep``, ``base`` and ``all_spans`` (start, rank, end, kind, found)."""
-    ratios = log_ratios(docs, id_col, text_col, sample_docs)
+    ratios = log_ratios(docs, id_col, text_col, sample_docs, word_docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(id_col, *[c for c in keep if c != id_col], text.alias("__text"), base_spans(text).alias("base"))
     added = model_spans(F.col("__text"), F.col("base"), ratios, min_ratio)
