@@ -65,12 +65,12 @@ def _clean_sql(url: str) -> str:
 FROM (SELECT doc_id, {_reason_sql('text')} AS reason, {_clean_sql('url')} AS clean FROM posts)) GROUP BY outcome""")
 def post_outcomes(spark, sf_dir):
     """Posts through normalising, prefilter and URL gate, counted by outcome. Only keys and reasons are shuffled."""
-    rows = T.posts(spark, sf_dir).select("doc_id", U.clean_url(F.col("url")).alias("clean"), X.prefilter_reason(F.col("text"), F.lit(False)).alias("reason"))
-    first = rows.filter("reason = ''").groupBy("clean").agg(F.count("*").alias("n"))
-    dropped = rows.filter("reason <> ''").groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n"))
-    kept = first.agg(F.count("*").alias("candidate"), F.sum(F.col("n") - 1).alias("dup"))
-    kept = kept.select(F.explode(F.array(F.struct(F.lit("candidate").alias("outcome"), F.col("candidate").alias("n")), F.struct(F.lit("dup:url").alias("outcome"), F.coalesce("dup", F.lit(0)).alias("n")))).alias("x")).select("x.outcome", "x.n")
-    return dropped.union(kept).filter("n > 0")
+    rows = T.posts(spark, sf_dir).select(U.clean_url(F.col("url")).alias("clean"), X.prefilter_reason(F.col("text"), F.lit(False)).alias("reason"))
+    kept = F.col("reason") == ""
+    groups = rows.groupBy("reason", F.when(kept, F.col("clean")).alias("clean")).agg(F.count("*").alias("n"))
+    first = F.when(kept, "candidate").otherwise(F.col("reason"))
+    parts = F.array(F.struct(first.alias("outcome"), F.when(kept, 1).otherwise(F.col("n")).alias("n")), F.struct(F.lit("dup:url").alias("outcome"), F.when(kept, F.col("n") - 1).otherwise(0).alias("n")))
+    return groups.select(F.explode(parts).alias("x")).groupBy("x.outcome").agg(F.sum("x.n").alias("n")).filter("n > 0")
 
 
 @query(f"SELECT page_id, {_clean_sql('url')} AS clean_url FROM pages")
