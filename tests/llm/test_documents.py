@@ -284,6 +284,28 @@ def test_kneser_ney_sums_to_one():
         assert abs(Model.probability(tables, x.astype(np.int64), 4).sum() - 1) < 1e-9
 
 
+def test_language_models_keep_all_grams_and_languages(spark):
+    """Over 200,000 n-grams of one language and over 64 languages, against the fit in one piece."""
+    from tidewheel.llm.langid import Model, _counts, identify_languages, keys, model_files
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 25_000)) for _ in range(20)]
+    rows = [(4 * i + 1, t, "big") for i, t in enumerate(texts)]
+    made = [f"m{i:02}" for i in range(68)]
+    for i, lang in enumerate(made):
+        stem = "".join(chr(97 + x) for x in rng.integers(0, 26, 9))
+        rows += [(1000 + 10 * i + j, f"{stem} " * (3 if i else 2), lang) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = model_files(docs.select("lang", "text").mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    assert model.langs == ["big", *made]
+    k, n = np.unique(keys(texts)[0], return_counts=True)
+    assert len(k) > 200_000
+    for got, want in zip(model.tables(0), Model.fit(k, n), strict=True):
+        for a, b in zip(got, want, strict=True):
+            assert len(a) == len(b) and np.allclose(a, b, rtol=1e-12)
+    assert {r.lang_pred for r in identify_languages(docs).collect()} == {"big", *made}
+
+
 def test_toxicity(spark):
     from tidewheel.llm.toxicity import fit_noisy_or, toxicity_scores
 
