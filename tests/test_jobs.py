@@ -222,6 +222,16 @@ def test_greedy_matches_loop(spark, seed):
     assert rows_of(got, "id", "accepted", "basis") == sorted(want, key=str)
 
 
+def test_greedy_follows_long_chains(spark):
+    """A path of edges and one of alternating URL and title keys, a link a round: every second row is accepted."""
+    n = 60
+    rows = [(i, i, f"e{i}", None) for i in range(n)] + [(1000 + i, 1000 + i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(n)]
+    edges = [(i, i + 1) for i in range(n - 1)]
+    got = dedup.greedy(spark.createDataFrame(rows, "id long, position long, url_key string, title_key string").coalesce(1), spark.createDataFrame(edges, "a long, b long").coalesce(1))
+    assert rows_of(got, "id", "accepted") == sorted([(i, i % 2 == 0) for i, *_ in rows], key=str)
+    assert got.filter("accepted = (basis is not null)").count() == 0
+
+
 def test_dedup_gates(spark):
     old = spark.createDataFrame([(1, "Free Domain", "domain", NOW - dt.timedelta(days=10)), (2, "Free Domain", "domain", NOW - dt.timedelta(days=5)), (3, "Old title", "domain", NOW - dt.timedelta(days=100))], "id long, title string, category string, first_seen timestamp")
     prints = old.select(F.col("id").alias("offer_id"), O.sha256_hex(F.concat(F.lit("http://o/"), F.col("id").cast("string"))).alias("url_hash"), O.sha256_hex(F.lower("title")).alias("title_hash"), F.when(F.col("id") == 2, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array()).cast("array<float>").alias("embedding"))

@@ -98,15 +98,17 @@ def semantic_pairs(vectors: DataFrame, *, threshold: float = 0.92, block_rows: i
     return dealt.mapInArrow(_block_pairs(threshold), PAIRS)
 
 
-def greedy(candidates: DataFrame, edges: DataFrame, *, max_rounds: int = 50) -> DataFrame:
+def greedy(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates (id, position, url_key, title_key; keys may be null) and edges (a, b) of positions -> position, accepted, basis, blame.
 
     ``blame`` is the accepted position that makes a row a duplicate. Positions below 0 are known
-    rows: accepted from the start. Each round is written to the shared folder.
+    rows: accepted from the start. Each round is written to the shared folder; a round settles the
+    first open row at least, and a chain of dependent rows takes a round a link.
     """
     state = written(candidates.select("id", "position", "url_key", "title_key", (F.col("position") < 0).alias("accepted"), F.lit(None).cast("string").alias("basis"), F.lit(None).cast("long").alias("blame"), (F.col("position") < 0).alias("closed")), "greedy")
     near = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("b < a").distinct(), "edges")
-    for _ in range(max_rounds):
+    left = state.filter("not closed").count()
+    while left:
         alive = state.filter("accepted or not closed")
 
         def first(key: str) -> DataFrame:
@@ -132,8 +134,9 @@ def greedy(candidates: DataFrame, edges: DataFrame, *, max_rounds: int = 50) ->
         step = now.select("position", accept.alias("n_accepted"), F.when(dup, basis).alias("n_basis"), F.when(dup, F.coalesce(hit("url_key"), hit("title_key"), F.col("edge_accepted"))).alias("n_blame"), (accept | dup).alias("n_closed"))
         merged = state.join(step, "position", "left").select("id", "position", "url_key", "title_key", F.coalesce("n_accepted", "accepted").alias("accepted"), F.coalesce("n_basis", "basis").alias("basis"), F.coalesce("n_blame", "blame").alias("blame"), F.coalesce("n_closed", "closed").alias("closed"))
         state = written(merged, "greedy")
-        if state.filter("not closed").isEmpty():
-            break
+        before, left = left, state.filter("not closed").count()
+        if left >= before:
+            raise RuntimeError(f"a round of the greedy resolution settled none of {left} open rows")
     return state.filter("position >= 0").drop("closed")
 
 
