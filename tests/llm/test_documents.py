@@ -195,6 +195,22 @@ def test_packing(docs):
     assert sum(r.length for r in got) == sum(len(reference.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in base_rows())
 
 
+def test_packing_finds_added_tokens(spark):
+    """Ids of texts with the vocabulary's added token, against tokenizers with its defaults."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewheel.llm.packing import pack_sequences
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a  <|endoftext|>  b \n<|endoftext|><|endoftext|>", "<|endoftext", "<|ENDOFTEXT|> <|endoftext|>é"]
+    got = pack_sequences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    for i, t in enumerate(texts):
+        ids = [*reference.encode(t, add_special_tokens=False).ids, 1]
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in mine for x in r.ids] == ids and {r.doc_tokens for r in mine} == {len(ids)} and (50256 in ids) == ("<|endoftext|>" in t)
+
+
 def test_packing_fills_windows():
     from tidewheel.llm.packing import Packer
 

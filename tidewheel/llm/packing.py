@@ -29,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Of byte_bpe_50k.json; the rank file of the vocabulary leaves it out.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
+def encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 @lru_cache(maxsize=4)
@@ -166,9 +168,9 @@ class Packer:
                     part, room = [], 1 << max(0, total.bit_length() - 1)
 
 
-def _pack(path: str, pattern: str, end_id: int, window: int, bins: int, depth: int, min_cut: int, buffer: int, with_ids: bool):
+def _pack(path: str, pattern: str, added: tuple[tuple[str, int], ...], end_id: int, window: int, bins: int, depth: int, min_cut: int, buffer: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, added)
         packer = Packer(window, bins, depth, min_cut)
         known: dict[int, tuple] = {}  # document number -> (id, tokens), for what waits
         number, sequence = 0, TaskContext.get().partitionId() << 36
@@ -192,7 +194,7 @@ def _pack(path: str, pattern: str, end_id: int, window: int, bins: int, depth: i
         for batch in batches:
             ids_in = batch.column("doc").to_pylist()
             for doc_id, text in zip(ids_in, batch.column("text")):
-                ids = np.append(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32(end_id))
+                ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(end_id))
                 known[number] = (doc_id, len(ids))
                 full = len(ids) // window * window
                 for at in range(0, full, window):
@@ -216,15 +218,17 @@ def _pack(path: str, pattern: str, end_id: int, window: int, bins: int, depth: i
     return run
 
 
-def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, end_id: int = 1, window: int = 2048, bins: int = 64, depth: int = 3, min_cut: int = 16, buffer: int = 8192, with_ids: bool = False) -> DataFrame:
+def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, added_tokens: dict[str, int] | None = None, end_id: int = 1, window: int = 2048, bins: int = 64, depth: int = 3, min_cut: int = 16, buffer: int = 8192, with_ids: bool = False) -> DataFrame:
     """One row per piece: which ids of which document, and where in which sequence they stand.
 
-    ``vocabulary``: a byte-level BPE rank file that executors can read; ``pattern``: its word pattern.
+    ``vocabulary``: a byte-level BPE rank file that executors can read; ``pattern``: its word pattern;
+    ``added_tokens``: strings that are one id wherever they stand in a text, as in tokenizers.
     """
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        added_tokens = ADDED_TOKENS if added_tokens is None else added_tokens
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    done = rows.mapInArrow(_pack(str(vocabulary), pattern, end_id, window, bins, depth, min_cut, buffer, with_ids), SCHEMA + (", ids array<long>" if with_ids else ""))
+    done = rows.mapInArrow(_pack(str(vocabulary), pattern, tuple((added_tokens or {}).items()), end_id, window, bins, depth, min_cut, buffer, with_ids), SCHEMA + (", ids array<long>" if with_ids else ""))
     return done.withColumnRenamed("doc_id", id_col)
