@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all of docs. Stages 1-4 return the columns
 of documents; run() writes each stage's rows to the shared folder and reads them again.
-Rows that repeat an id are one document: they stay or go together.
+Each row is a document of its own: a stage that takes rows out numbers them first, so null and
+repeated ids are treated as all others.
 """
 
 from __future__ import annotations
@@ -23,17 +24,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row in ``__row``, written so that it stays the same."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates, and all that are in none."""
-    again = near_duplicate_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates, the least id's (a null id comes last), and all that are in none."""
+    rows = numbered(docs, "near_duplicates_in")
+    groups = written(near_duplicate_components(rows, id_col="__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "groups")
+    first = groups.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("first")).filter("n > 1")
+    again = groups.join(first, "component_id").filter("__row <> first").select("__row")
+    return rows.join(again, "__row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contaminated_passages(docs, benchmark).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, "decontamination_in")
+    leaks = contaminated_passages(rows, benchmark, id_col="__row").select("__row").distinct()
+    return rows.join(leaks, "__row", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

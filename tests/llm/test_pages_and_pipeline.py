@@ -159,3 +159,25 @@ def test_pipeline(spark, tmp_path):
         assert [p.ids_crc32 for p in mine] == [zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in mine]
         assert sum(p.length for p in mine) == len(ids)
     assert {p.doc_id for p in pieces} == set(texts)
+
+
+def test_pipeline_takes_null_and_repeated_ids(spark, tmp_path):
+    """One row of each group stays and no contaminated row does, whatever the ids."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    a, b, c, d, item = text(120), text(90), text(80), text(70), text(20)
+    leak = text(60) + " " + item + " " + text(30)
+    rows = [(None, a), (None, a + " tail"), (None, b), (7, b), (8, c), (8, c), (9, d), (9, text(75)), (None, leak), (10, leak + " end"), (None, text(65)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    copies = [r for r in got if r[1] in (a, a + " tail")]
+    assert len(copies) == 1 and copies[0][0] is None
+    want = [r for r in rows if r[1] not in (a, a + " tail")]
+    for gone in ((None, b), (8, c), (None, leak)):
+        want.remove(gone)
+    assert sorted((r for r in got if r not in copies), key=str) == sorted(want, key=str)
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted((r for r in rows if r not in ((None, leak), (10, leak + " end"))), key=str)
