@@ -414,6 +414,27 @@ def test_decontamination_recall(edits):
     assert sum((i, i) in found for i in range(150)) >= 0.9 * 150
 
 
+@pytest.mark.parametrize("half", ["both", "first", "last"])
+@pytest.mark.parametrize("n", [20, 50, 100, 200, 400])
+def test_decontamination_recall_of_long_and_clustered(n, half):
+    """At the distance limit recall is at least 0.9 for all lengths, edits spread or all in one half."""
+    from tidewheel.llm.decontam import Items, words_of
+    from tidewheel.llm.words import flat
+
+    rng = np.random.default_rng(n)
+    texts = [" ".join(f"q{x}" for x in rng.integers(0, 5000, n)) for _ in range(40)]
+    items = Items(list(range(40)), *flat(pa.array(texts)), 5, 15, 16, 3)
+    changed = []
+    for t in texts:
+        w = t.split()
+        for _ in range(15 * n // 100):
+            at, how = rng.integers(n // 2 if half == "last" else 0, n // 2 if half == "first" else len(w)), rng.integers(3)
+            w[at : at + (how < 2)] = ["zz"] if how else []
+        changed.append("lead in " + " ".join(w) + " and out")
+    found = {(d, k) for d, k, *_ in items.search(words_of(*flat(pa.array(changed))))}
+    assert sum((i, i) in found for i in range(40)) >= 0.9 * 40
+
+
 def test_empty_tables(spark):
     import tidewheel.llm.decontam as decontam
     import tidewheel.llm.jaccard as jaccard

@@ -1,15 +1,18 @@
 """Benchmark decontamination: passages within a word edit distance of benchmark items.
 
-Items fall into length classes. At a document's word p, a window of the class' length is
+An item of two or more times ``PIECE`` words is cut into pieces of about that length: of n pieces one
+has at most an n-th of the edits, wherever they stand, so recall does not fall with the item's
+length. Pieces fall into length classes. At a document's word p, a window of the class' length is
 embedded by CGK random walks: at each step the word under the walk is written down, and the
 walk moves on if a random bit of (step, word) says so. Equal words keep two walks together,
 and after an edit they tend to meet again, so few edits change few coordinates. Each of
-``repeats`` walks samples ``coordinates`` of its steps into one key (bit-sampling LSH); windows
-that share a key with an item are verified by their exact edit distance (Myers' bit vectors).
+``repeats`` walks samples ``coordinates`` of its steps into one key (bit-sampling LSH); where
+a window shares a key with a piece, the whole item is verified by its exact edit distance to any
+passage around (Myers' bit vectors). The steps are sampled over all of a walk.
 ``recall`` of the sampling at the distance limit is measured in the tests.
 
 Before embedding, windows that cannot match are set aside without loss: a passage within k
-edits of an item starts with a benchmark word, holds at most k words that are none, and, as an
+edits of a piece starts with a benchmark word, holds at most k words that are none, and, as an
 edit touches two word pairs, at most 2 k word pairs that no item has.
 
 The item tables are broadcast in blocks of at most ``block_items`` items (a pass over the
@@ -33,6 +36,8 @@ from .common import written
 from .words import Words, flat, grams, mix, slices, split_words
 
 _U = np.uint64
+PIECE = 12
+WALK = 1.5
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -68,8 +73,8 @@ def walks(words: np.ndarray, steps: np.ndarray, seeds: np.ndarray) -> np.ndarray
     return out
 
 
-def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
-    """(distance, length) of the prefix of ``text`` nearest to ``item``, by Myers' bit vectors."""
+def edit_distance(item: list[int], text: list[int], anywhere: bool = False) -> tuple[int, int]:
+    """(distance, end) of the prefix of ``text`` (``anywhere``: of the passage in it) nearest to ``item``, by Myers' bit vectors."""
     m = len(item)
     where: dict[int, int] = {}
     for i, w in enumerate(item):
@@ -83,7 +88,7 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
         ph = minus | (~(xh | plus) & full)
         mh = plus & xh
         score += bool(ph & top) - bool(mh & top)
-        ph = (ph << 1 | 1) & full
+        ph = (ph << 1 | (not anywhere)) & full
         mh = (mh << 1) & full
         plus = mh | (~(xv | ph) & full)
         minus = ph & xv
@@ -91,6 +96,18 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def nearest_passage(item: list[int], text: list[int], limit: int) -> tuple[int, int, int] | None:
+    """(distance, start, length) of the passage of ``text`` nearest to ``item``, if within ``limit``."""
+    have = set(text)
+    if sum(w not in have for w in item) > limit:  # each such word is an edit
+        return None
+    distance, end = edit_distance(item, text, anywhere=True)
+    if distance > limit:
+        return None
+    _, length = edit_distance(item[::-1], text[:end][::-1])
+    return distance, end - length, length
+
+
 class Items:
     """One block of benchmark items, ready to be looked up."""
 
@@ -103,16 +120,24 @@ class Items:
         self.pairs = np.unique(pair)
         self.classes = []
         rng = np.random.default_rng(77)
-        lo, longest = min_words, max([len(x) for x in self.words], default=0)
+        pieces = []  # item, first word, words, edits of the piece with fewest
+        for i, x in enumerate(self.words):
+            m, n = len(x), max(1, len(x) // PIECE)
+            if m >= min_words:
+                cut = [m * j // n for j in range(n + 1)]
+                pieces += [(i, p, q - p, percent * m // 100 // n) for p, q in zip(cut[:-1], cut[1:])]
+        table = np.array(pieces, np.int64).reshape(-1, 4)
+        lo, longest = min_words, int(table[:, 2].max(initial=0))
         while lo <= longest:
             hi = max(lo, int(lo * 1.3) - 1)
-            members = np.array([i for i, x in enumerate(self.words) if lo <= len(x) <= hi], np.int64)
+            members = table[(table[:, 2] >= lo) & (table[:, 2] <= hi)]
             seeds = mix(np.arange(repeats, dtype=_U) + _U(lo << 20) + _U(1))
-            steps = np.sort(np.array([rng.choice(lo, coordinates, replace=False) for _ in range(repeats)]), axis=1)
+            reach = max(coordinates, int(WALK * lo))
+            steps = np.sort(np.array([rng.choice(reach, coordinates, replace=False) for _ in range(repeats)]), axis=1)
             if len(members):
-                keys = walks(np.array([self.words[i][:lo] for i in members]), steps, seeds).T  # repeats x items
+                keys = walks(np.array([self.words[i][p : p + lo] for i, p, _, _ in members.tolist()]), steps, seeds).T  # repeats x pieces
                 order = np.argsort(keys, axis=1)
-                self.classes.append((lo, hi, percent * hi // 100, steps, seeds, np.take_along_axis(keys, order, axis=1), members[order]))
+                self.classes.append((lo, int(members[:, 3].max()), steps, seeds, np.take_along_axis(keys, order, axis=1), members[:, :2][order]))
             lo = hi + 1
 
     def unknown(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,9 +154,9 @@ class Items:
         return word, np.concatenate([[0], np.cumsum(~word)]), np.concatenate([[0], np.cumsum(~pair)])
 
     def starts(self, w: Words, word: np.ndarray, words_off: np.ndarray, pairs_off: np.ndarray, lo: int, edits: int) -> np.ndarray:
-        """Words where a passage near an item of the class can start."""
+        """Words where a passage near a piece of the class can start."""
         p = np.flatnonzero(word)
-        least = lo - self.percent * lo // 100
+        least = max(1, lo - edits)
         p = p[p + least <= w.first[1:][w.doc[p]]]
         p = p[words_off[p + least] - words_off[p] <= edits]
         return p[pairs_off[p + least - 1] - pairs_off[p] <= 2 * edits]
@@ -142,7 +167,7 @@ class Items:
             return
         unknown = self.unknown(w)
         best: dict[tuple[int, int], tuple] = {}
-        for lo, hi, edits, steps, seeds, keys, members in self.classes:
+        for lo, edits, steps, seeds, keys, members in self.classes:
             found = self.starts(w, *unknown, lo, edits)
             for a in range(0, len(found), 4096):
                 p = found[a : a + 4096]
@@ -154,15 +179,18 @@ class Items:
                 for r in range(len(seeds)):
                     x, y = np.searchsorted(keys[r], mine[:, r]), np.searchsorted(keys[r], mine[:, r], "right")
                     for i in np.flatnonzero(y > x).tolist():
-                        pairs.update((i, int(k)) for k in members[r][x[i] : y[i]])
-                for i, k in sorted(pairs):
-                    item = self.words[k]
+                        pairs.update((int(w.doc[p[i]]), k, int(p[i]) - at) for k, at in members[r][x[i] : y[i]].tolist())
+                for d, k, at in sorted(pairs):  # where the item would start without edits before the piece
+                    item, first = self.words[k], int(w.first[d])
                     limit = self.percent * len(item) // 100
-                    start, d = int(p[i]), int(w.doc[p[i]])
-                    text = w.hash[start : min(start + len(item) + limit, int(w.first[d + 1]))]
-                    distance, length = edit_distance(item.tolist(), text.tolist())
-                    if distance <= limit:
-                        best[d, k] = min(best.get((d, k), (1 << 60,)), (distance, start - int(w.first[d]), length))
+                    known = best.get((d, k), (1 << 60, 0, 0))
+                    if known[0] == 0 and first + known[1] <= at:
+                        continue
+                    start = max(first, at - limit)
+                    text = w.hash[start : min(max(start, at + len(item) + 2 * limit), int(w.first[d + 1]))]
+                    near = nearest_passage(item.tolist(), text.tolist(), limit)
+                    if near is not None:
+                        best[d, k] = min(known, (near[0], start - first + near[1], near[2]))
         for (d, k), (distance, start, length) in sorted(best.items()):
             yield d, k, start, length, distance
 
