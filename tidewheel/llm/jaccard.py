@@ -11,15 +11,21 @@ The slack makes hot parities harmless without loss: a set whose own pairs differ
 e tokens shares K - e blocks with each partner, and may drop its K - e - 1 most frequent ones
 (empty blocks first) in one global order, since the rarest shared block is never among them.
 
+A key that many classes of one task share is sent by (key, class), with one marker to the
+key's own place, so no key comes together in one task.
+
 Groups of equal parities are joined in two steps, neither of which makes all pairs:
-first every member with the group's least and greatest class; then, in groups that still hold several
-components, blocks of at most ``CHUNK`` members are compared with each other by a second
-sketch of 512 parity bits, and only pairs of different components within the Hamming bound
-go on. Both steps verify on the exact shingle sets.
+first every member meets the group's least class and its most central one (whose own groups
+are the largest); then, in groups that still hold several components, the members outside the
+group's largest component meet all members in blocks of bounded bytes, and a block gives
+no more links than it joins components. Both steps verify on the exact shingle sets; a block
+first compares parity bits of its own, as many as its sets' bound asks for.
 
 Copies (equal sets) are one class throughout. Defined results: null or wordless text has
 an empty set and links with nothing; under five words the whole sequence is one shingle; a
-null id comes last and its component is null where no other document is in it.
+null id comes last and its component is null where no other document is in it. Ties and
+repeated rows are copies; an empty table gives an empty result; a very long text is one row
+of a slice, its set in one block row. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +43,10 @@ from .words import grams, mix, slices, split_words
 
 SHINGLE = 5
 BITS = 512
-CHUNK = 1024
+BLOCK_ROWS = 8192
+BLOCK_BYTES = 32 << 20
+FLUSH = 2_000_000
+MANY = 16
 RATIO = 1.6
 _U = np.uint64
 
@@ -155,38 +164,66 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, class) of each class once a flush. ``many``: a key of at least ``MANY`` classes here, whose rows
+    are dealt by class, too; one row with a null class then tells the key's own place that it is shared."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     seen: set[int] = set()
+
+    def out() -> pa.RecordBatch:
+        key, cls = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        seen.clear()
+        u, inv, n = np.unique(key, return_inverse=True, return_counts=True)
+        hot = u[n >= MANY]
+        many = np.concatenate([n[inv] >= MANY, np.zeros(len(hot), bool)])
+        mark = np.concatenate([np.zeros(len(key), bool), np.ones(len(hot), bool)])
+        key = np.concatenate([key, hot])
+        return pa.record_batch([pa.array(key), pa.array(np.concatenate([cls, hot]), mask=mark), pa.array(many)], ["key", "cls", "many"])
+
     for batch in batches:
         for _, data, off in slices(batch, "text"):
             h, at = shingle_sets(data, off)
             n = np.diff(at)
             cls = classes(h, at)
             fresh = np.ones(len(n), bool)
-            for i, c in enumerate(cls.tolist()):  # a task sends a class once
+            for i, c in enumerate(cls.tolist()):
                 fresh[i] = c not in seen
                 seen.add(c)
-            if len(seen) > 1_000_000:
-                seen.clear()
             for docs, band in _joined_bands(np.where(fresh, n, 0)):
                 if len(docs):
                     d, key, _ = parities(h, at, n, docs, band)
-                    yield pa.record_batch([pa.array(key), pa.array(cls[d])], ["key", "cls"])
+                    held.append((key, cls[d]))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield out()
+    if held:
+        yield out()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of one shuffle partition that two classes or more share."""
-    got = [(b.column("key").to_numpy(), b.column("cls").to_numpy()) for b in batches]
-    if not got:
-        return
-    key, cls = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls = key[new], cls[new]
-    _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-    many = n[inv] > 1
-    yield pa.record_batch([pa.array(key[many]), pa.array(cls[many]), pa.array(n[inv][many])], ["key", "cls", "size"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that two classes or more share; rows come sorted by key and only the last key's are held."""
+
+    def out(key: np.ndarray, cls: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(cut, len(key)))
+        two = (np.maximum.reduceat(cls, cut) != np.minimum.reduceat(cls, cut)) | np.logical_or.reduceat(sure, cut)
+        keep = np.repeat(two, size) & (cls >= 0)
+        return pa.record_batch([pa.array(key[keep]), pa.array(cls[keep])], ["key", "cls"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    for b in batches:
+        marker = b.column("cls").is_null().to_numpy(zero_copy_only=False)
+        rows = [b.column("key").to_numpy(), b.column("cls").fill_null(-1).to_numpy(), marker | b.column("many").to_numpy(zero_copy_only=False)]
+        rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
+        key = rows[0]
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last:
+            yield out(*[x[:last] for x in rows])
+        held = [x[last:] for x in rows]
+        if len(held[0]) > FLUSH and (held[2].any() or held[1].min() != held[1].max()):  # surely shared: the rest may come later
+            yield out(*held)
+            held = [held[0][:1], np.full(1, -1), np.ones(1, bool)]
+    if len(held[0]):
+        yield out(*held)
 
 
 def _exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,48 +248,92 @@ def _verify(percent: int):
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within the Hamming bound, block by block; rows come sorted by block."""
-    left, found = None, []
-    names = ["cls", "label", "n", *[f"s{i}" for i in range(BITS // 64)]]
-
-    def out() -> pa.RecordBatch:  # groups overlap: a task sends a pair once
-        u = np.unique(np.concatenate(found), axis=0)
-        found.clear()
-        return pa.record_batch([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], ["a", "b"])
-
-    def pairs(t: pa.Table) -> None:
-        side = t.column("side").to_numpy()
-        cols = [t.column(c).to_numpy() for c in names]
-        sk = np.column_stack(cols[3:]).view(_U)
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        cls, label, n = cols[:3]
-        for at in range(0, len(a), 128):
-            i = a[at : at + 128]
-            far = np.zeros((len(i), len(b)), np.int64)
-            for k in range(sk.shape[1]):
-                far += np.bitwise_count(sk[i, k][:, None] ^ sk[b, k][None, :])
-            near = (far <= (n[i][:, None] + n[b][None, :]) // 9) & (label[i][:, None] != label[b][None, :])
-            p, q = np.nonzero(near)
-            x, y = cls[i[p]], cls[b[q]]
-            if len(x):
-                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+def _sketch(tokens: list[np.ndarray], bits: int) -> np.ndarray:
+    """Parity bits of each set, in words of 64."""
+    n = np.array([len(t) for t in tokens])
+    x = mix(np.concatenate(tokens) ^ _U(0x1B873593CC9E2D51)) & _U(bits - 1)
+    cell = np.repeat(np.arange(len(n)), n) * bits + x.astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=len(n) * bits) & 1).astype(np.uint8).reshape(len(n), bits), axis=1).view(_U)
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
-        k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-        cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        edges = [0, *cut.tolist()]
-        for x, y in zip(edges[:-1], edges[1:]):
-            pairs(t.slice(x, y - x))
-        left = t.slice(edges[-1])
-        if sum(map(len, found)) > 1_000_000:
-            yield out()
-    if left is not None and left.num_rows:
-        pairs(left)
-    if found:
-        yield out()
+
+def _common(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of sorted ``x`` with each of ``sets``."""
+    y = np.concatenate(sets)
+    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    return np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]))
+
+
+def block_links(percent: int, key: int, side: np.ndarray, cls: np.ndarray, label: np.ndarray, tokens: list[np.ndarray], opens: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of links between the components (``label``) of a block's left and right members.
+
+    A pair is left to the first group that both are in, so it is verified in one block only;
+    near ones are verified first, and pairs that are joined already are not.
+    """
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(a) or not len(b):
+        return []
+    n = np.array([len(t) for t in tokens])
+    bits = 1 << int(max(BITS, 8 * (2 * n.max() // 9)) - 1).bit_length()
+    sk = _sketch(tokens, bits)
+    before = [frozenset(o[: np.searchsorted(o, key)].tolist()) for o in opens]
+    label = label.copy()
+    links = []
+    strip = max(1, min(128, (4 << 20) // len(b)))
+    for at in range(0, len(a), strip):
+        i = a[at : at + strip]
+        far = np.zeros((len(i), len(b)), np.int32)
+        for k in range(sk.shape[1]):
+            far += np.bitwise_count(sk[i, k][:, None] ^ sk[b, k][None, :])
+        near = far <= (n[i][:, None] + n[b][None, :]) // 9
+        for row, p in zip(range(len(i)), i):
+            q = b[near[row]]
+            q = q[np.argsort(far[row][near[row]], kind="stable")]
+            size = 4
+            while len(q := q[label[q] != label[p]]):
+                now, q = q[:size], q[size:]
+                size = min(2 * size, max(1, (2 << 20) // int(n.max())))
+                now = [x for x in now.tolist() if before[p].isdisjoint(before[x])]
+                if not now:
+                    continue
+                both = _common(tokens[p], [tokens[x] for x in now])
+                for x, c in zip(now, both.tolist()):
+                    if 100 * c >= percent * (n[p] + n[x] - c) and label[x] != label[p]:
+                        links.append((int(cls[p]), int(cls[x])))
+                        label[label == label[x]] = label[p]
+    return links
+
+
+def _blocks(percent: int):
+    """``block_links`` of each block; rows come sorted by block and one block is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            parts.clear()
+            tokens = [np.frombuffer(v.as_buffer(), _U) for c in t.column("tokens").chunks for v in c]
+            opens = [v.values.to_numpy() for c in t.column("opens").chunks for v in c]
+            side, cls, label = (t.column(c).to_numpy() for c in ("side", "cls", "label"))
+            if links := block_links(percent, t.column("key")[0].as_py(), side, cls, label, tokens, opens):
+                x, y = np.array(links).T
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        last = None
+        for b in batches:
+            key, i, j = (b.column(c).to_numpy() for c in ("key", "i", "j"))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if y > x:
+                    name = (key[x], i[x], j[x])
+                    if parts and name != last:
+                        yield from out()
+                    last = name
+                    parts.append(b.slice(x, y - x))
+        if parts:
+            yield from out()
+
+    return run
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -284,17 +365,19 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     per_class = sets.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), *[F.first(c).alias(c) for c in ("n", "own", "spare0", "spare1", *bits)])
     per_class = written(per_class, "classes")
 
-    keys = rows.select("text").mapInArrow(_keys, "key long, cls long")
-    groups = written(keys.repartition(parts, "key").mapInArrow(_groups, "key long, cls long, size long"), "groups")
+    keys = rows.select("text").mapInArrow(_keys, "key long, cls long, many boolean")
+    dealt = keys.repartition(parts, "key", F.when(F.col("many"), F.col("cls"))).sortWithinPartitions("key")
+    groups = written(dealt.mapInArrow(_shared, "key long, cls long").distinct(), "groups")
     spare = per_class.select("cls", "own", "spare0", "spare1")
-    band = F.col("key").bitwiseAND(63).cast("int")
-    ranked = groups.join(spare, "cls").withColumn("band", band)
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("cls", "band").orderBy(F.desc("size"), "key")))
-    kept = ranked.filter(F.col("rank") > F.when(F.col("band") == F.col("own"), F.col("spare0")).otherwise(F.col("spare1"))).select("key", "cls")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    ranked = groups.join(sizes, "key").join(spare, "cls").withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+    each = W.partitionBy("cls", "band")
+    ranked = ranked.withColumn("rank", F.row_number().over(each.orderBy(F.desc("size"), "key"))).withColumn("central", F.sum("size").over(each))
+    kept = ranked.filter(F.col("rank") > F.when(F.col("band") == F.col("own"), F.col("spare0")).otherwise(F.col("spare1"))).select("key", "cls", "central")
     kept = written(kept, "kept-groups")
 
-    leads = kept.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most")
-    star = kept.join(leads, "key").select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("cls").alias("b")), F.struct(F.col("cls").alias("a"), F.col("most").alias("b")))).alias("p"))
+    leads = kept.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("greatest"), F.max(F.struct("central", "cls"))["cls"].alias("most")).filter("least < greatest")
+    star = kept.join(leads, "key").select(F.explode(F.array(*[F.struct(F.least("cls", x).alias("a"), F.greatest("cls", x).alias("b")) for x in ("least", "most")])).alias("p"))
     star = star.select("p.a", "p.b").filter("a < b").distinct()
 
     def sketches(side: str) -> DataFrame:
@@ -317,14 +400,28 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     links = verified(near, "star-links")
     labels = components(links)
     marked = kept.join(labels, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-    open_keys = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c"))
-    members = marked.join(open_keys, "key").join(per_class.select("cls", "n", *bits), "cls")
-    members = members.withColumn("at", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    i, j = F.least("at", "to"), F.greatest("at", "to")
-    side = F.when(F.col("at") == F.col("to"), 2).when(F.col("at") < F.col("to"), 0).otherwise(1)
-    blocks = members.select("key", i.alias("i"), j.alias("j"), side.alias("side"), "cls", "label", "n", *bits)
-    across = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    more = verified(across, "block-links")
+    # a group's members outside its largest component (rest) meet all its members, in blocks
+    by_label = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_keys = by_label.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top")).filter("top.n < m")
+    top = F.lit(0)  # the largest set of the key's band
+    for i, n in enumerate(_TOP.tolist()):
+        top = F.when(F.col("key").bitwiseAND(63) == i, n + n // 4).otherwise(top)
+    rows_a_block = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * top))))
+    blocks = [F.ceil(x / rows_a_block).cast("int").alias(c) for x, c in ((F.col("m") - F.col("top.n"), "r"), (F.col("m"), "c"))]
+    open_keys = open_keys.select("key", F.col("top.label").alias("giant"), *blocks)
+    members = written(marked.join(open_keys, "key"), "open-members")
+    opens = members.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("opens"))
+    rest = F.col("label") != F.col("giant")
+    spot = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    place = F.pmod(F.xxhash64("cls"), F.col("c")), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("r"))
+    left = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: spot(place[1], j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    right = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda i: spot(i, place[0], 1))
+    single = F.when(rest, F.array(spot(F.lit(0), F.lit(0), 2))).otherwise(F.array(spot(F.lit(0), F.lit(0), 1)))
+    at = F.when((F.col("c") == 1) & (F.col("r") == 1), single).otherwise(F.concat(left, right))
+    spots = members.select("key", "cls", "label", F.explode(at).alias("at")).select("key", "at.*", "cls", "label")
+    blocks = spots.join(tokens.join(opens, "cls"), "cls")
+    more = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
+    more = written(more, "block-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
