@@ -164,6 +164,38 @@ def test_substring_with_narrow_sketch(spark):
     got = remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sketch_bits=1, max_sketch_bits=20, with_text=True).collect()
     check_substring(got, rows)
 
+def test_substring_with_null_and_repeated_ids(spark):
+    """Many null ids, repeated ids with different texts, a hot phrase, a sketch that marks all as hot."""
+    from tidewheel.llm import substring
+
+    rng = np.random.default_rng(11)
+    phrase, passage = [f"h{i}" for i in range(12)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        w = [f"v{x}" for x in rng.integers(0, 40, rng.integers(8, 50))]
+        w[3:3] = phrase
+        if i % 5 == 0:
+            at = rng.integers(0, 35)
+            w[9:9] = passage[at : at + 25]
+        rows.append((None if i % 3 == 0 else 7 if i % 3 == 1 and i < 60 else i, " ".join(w)))
+    rows += [(9000, "q " * 30), (9000, "q " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    th = [r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select(F.xxhash64("t").alias("h")).collect()]
+    place = [(1 << 62 if i is None else i, h) for (i, _), h in zip(rows, th)]
+    first = {}
+    for (_, t), at in zip(rows, place):
+        w = words(t)
+        for p in range(len(w) - 19):
+            g = tuple(w[p : p + 20])
+            first[g] = min(first.get(g, (1 << 63, 0, 0)), (*at, p))
+    want = []
+    for (i, t), at in zip(rows, place):
+        w = words(t)
+        gone = {q for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] < (*at, p) for q in range(p, p + 20)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    for hot in (128, 2):
+        same([tuple(r) for r in substring.remove_repeated_windows(df, hot=hot).collect()], want)
+
 
 def test_packing(docs):
     import public_tokenizers

@@ -7,7 +7,7 @@ one flat byte array of a slice of documents, so no Python loop runs per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) | _U(1)
 _BYTE_FOLD = _BYTE.copy()
 _BYTE_FOLD[0x41:0x5B] = _BYTE[0x61:0x7B]
 _BASE = 0x9E3779B97F4A7C15
+_BYTE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) | _U(1)
+_BASE_2 = 0xE7037ED1A0B428DB
 _GRAM_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -112,6 +114,17 @@ def split_words(data: np.ndarray, off: np.ndarray, fold: bool = False, space: np
     return Words(data, off, start, end, doc, mix(h + (end - start).astype(_U)), first, total)
 
 
+def second_hashes(w: Words) -> Words:
+    """``w`` with word hashes from byte values and a base of their own."""
+    n = len(w.data)
+    if n == 0:
+        return w
+    total = np.zeros(n + 1, _U)
+    np.cumsum(_BYTE_2[w.data] * powers(_BASE_2, n), out=total[1:])
+    h = (total[w.end] - total[w.start]) * powers(inverse(_BASE_2), n)[w.start]
+    return replace(w, hash=mix(h ^ (w.end - w.start).astype(_U)), total=total)
+
+
 def grams(w: Words, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all runs of n words within one document, and their hashes."""
     m = len(w.hash)
