@@ -17,9 +17,10 @@ key's own place, so no key comes together in one task.
 Groups of equal parities are joined in two steps, neither of which makes all pairs:
 first every member meets the group's least class and its most central one (whose own groups
 are the largest); then, in groups that still hold several components, the members outside the
-group's largest component meet all members in blocks of bounded bytes, and a block gives
-no more links than it joins components. Both steps verify on the exact shingle sets; a block
-first compares parity bits of its own, as many as its sets' bound asks for.
+group's largest component meet all members in blocks of bounded bytes. There, parity bits
+of a number that the band's bound asks for tell which members have a near one in another
+component; only these meet again with their sets, and a block gives no more links than it
+joins components. Both steps verify on the exact shingle sets.
 
 Copies (equal sets) are one class throughout. Defined results: null or wordless text has
 an empty set and links with nothing; under five words the whole sequence is one shingle; a
@@ -34,12 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import id_or_last, null_back, written
-from .words import grams, mix, slices, split_words
+from .words import flat, grams, mix, slices, split_words
 
 SHINGLE = 5
 BITS = 512
@@ -226,13 +227,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*held)
 
 
+#: Parity bits that tell members of band i apart beyond its bound.
+BAND_BITS = np.array([1 << int(max(BITS, 12 * d) - 1).bit_length() for d in D.tolist()])
+
+
+def _sketch(h: np.ndarray, bits: int) -> bytes:
+    cell = (mix(h ^ _U(0x1B873593CC9E2D51)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches of ``words`` 64-bit words: longer ones are folded, as their bits are chosen by low hash bits."""
+    if len({len(x) for x in sketches}) == 1:
+        return np.stack(sketches)
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in sketches])
+
+
 def _exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, off in slices(batch, "text"):
             h, at = shingle_sets(data, off)
-            cls = part.column("cls").to_numpy()
+            cls, own = part.column("cls").to_numpy(), part.column("own").to_numpy()
             same = pa.array(classes(h, at) == cls)
-            yield pa.record_batch([part.column("cls"), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["cls", "tokens"]).filter(same)
+            sets = [h[a:b] for a, b in zip(at[:-1], at[1:])]
+            cols = [part.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_sketch(x, BAND_BITS[o]) for x, o in zip(sets, own)], pa.binary())]
+            yield pa.record_batch(cols, ["cls", "tokens", "sketch"]).filter(same)
 
 
 def _verify(percent: int):
@@ -248,14 +267,6 @@ def _verify(percent: int):
     return run
 
 
-def _sketch(tokens: list[np.ndarray], bits: int) -> np.ndarray:
-    """Parity bits of each set, in words of 64."""
-    n = np.array([len(t) for t in tokens])
-    x = mix(np.concatenate(tokens) ^ _U(0x1B873593CC9E2D51)) & _U(bits - 1)
-    cell = np.repeat(np.arange(len(n)), n) * bits + x.astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=len(n) * bits) & 1).astype(np.uint8).reshape(len(n), bits), axis=1).view(_U)
-
-
 def _common(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Size of the intersection of sorted ``x`` with each of ``sets``."""
     y = np.concatenate(sets)
@@ -263,29 +274,34 @@ def _common(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]))
 
 
-def block_links(percent: int, key: int, side: np.ndarray, cls: np.ndarray, label: np.ndarray, tokens: list[np.ndarray], opens: list[np.ndarray]) -> list[tuple[int, int]]:
+def near_pairs(side: np.ndarray, n: np.ndarray, label: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Left members, right members, Hamming distances and which pairs are of two components and within the bound; strip by strip."""
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(a) or not len(b):
+        return
+    sk = _folded(sketches, min(map(len, sketches)))
+    strip = max(1, min(128, (4 << 20) // len(b)))
+    for at in range(0, len(a), strip):
+        i = a[at : at + strip]
+        far = np.zeros((len(i), len(b)), np.int64)
+        step = max(1, (1 << 18) // far.size)
+        for k in range(0, sk.shape[1], step):
+            far += np.bitwise_count(sk[i, None, k : k + step] ^ sk[None, b, k : k + step]).sum(axis=2, dtype=np.int64)
+        yield i, b, far, (far <= (n[i][:, None] + n[b][None, :]) // 9) & (label[i][:, None] != label[b][None, :])
+
+
+def block_links(percent: int, key: int, side: np.ndarray, cls: np.ndarray, label: np.ndarray, tokens: list[np.ndarray], sketches: list[np.ndarray], opens: list[list[int]]) -> list[tuple[int, int]]:
     """A forest of links between the components (``label``) of a block's left and right members.
 
     A pair is left to the first group that both are in, so it is verified in one block only;
     near ones are verified first, and pairs that are joined already are not.
     """
-    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if not len(a) or not len(b):
-        return []
     n = np.array([len(t) for t in tokens])
-    bits = 1 << int(max(BITS, 8 * (2 * n.max() // 9)) - 1).bit_length()
-    sk = _sketch(tokens, bits)
-    before = [frozenset(o[: np.searchsorted(o, key)].tolist()) for o in opens]
+    before = [frozenset(x for x in o if x < key) for o in opens]
     label = label.copy()
     links = []
-    strip = max(1, min(128, (4 << 20) // len(b)))
-    for at in range(0, len(a), strip):
-        i = a[at : at + strip]
-        far = np.zeros((len(i), len(b)), np.int32)
-        for k in range(sk.shape[1]):
-            far += np.bitwise_count(sk[i, k][:, None] ^ sk[b, k][None, :])
-        near = far <= (n[i][:, None] + n[b][None, :]) // 9
-        for row, p in zip(range(len(i)), i):
+    for i, b, far, near in near_pairs(side, n, label, sketches):
+        for row, p in enumerate(i):
             q = b[near[row]]
             q = q[np.argsort(far[row][near[row]], kind="stable")]
             size = 4
@@ -303,39 +319,92 @@ def block_links(percent: int, key: int, side: np.ndarray, cls: np.ndarray, label
     return links
 
 
-def _blocks(percent: int):
-    """``block_links`` of each block; rows come sorted by block and one block is held at a time."""
+def _each_block(f, numbers: list[str], lists: list[str]):
+    """``f`` of each block's columns; rows come sorted by block and one block is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts)
-            parts.clear()
-            tokens = [np.frombuffer(v.as_buffer(), _U) for c in t.column("tokens").chunks for v in c]
-            opens = [v.values.to_numpy() for c in t.column("opens").chunks for v in c]
-            side, cls, label = (t.column(c).to_numpy() for c in ("side", "cls", "label"))
-            if links := block_links(percent, t.column("key")[0].as_py(), side, cls, label, tokens, opens):
-                x, y = np.array(links).T
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
+        parts: list[dict] = []
         last = None
         for b in batches:
-            key, i, j = (b.column(c).to_numpy() for c in ("key", "i", "j"))
+            cols = {c: b.column(c).to_numpy() for c in ("key", "i", "j", *numbers)}
+            if "opens" in b.schema.names:
+                cols["opens"] = b.column("opens").to_pylist()
+            for c in lists:
+                data, off = flat(b.column(c))
+                data, off = data.view(_U), (off // 8).tolist()
+                cols[c] = [data[x:y] for x, y in zip(off[:-1], off[1:])]
+            key, i, j = cols["key"], cols["i"], cols["j"]
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
                 if y > x:
                     name = (key[x], i[x], j[x])
                     if parts and name != last:
-                        yield from out()
+                        yield from f(parts)
+                        parts = []
                     last = name
-                    parts.append(b.slice(x, y - x))
+                    parts.append({c: v[x:y] for c, v in cols.items()})
         if parts:
-            yield from out()
+            yield from f(parts)
+
+    return run
+
+
+def _whole(parts: list[dict]) -> dict:
+    """A block's columns in one piece."""
+    if len(parts) == 1:
+        return parts[0]
+    return {c: sum((p[c] for p in parts), []) if isinstance(parts[0][c], list) else np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+def _near_members(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Members with a near one in another component."""
+    t = _whole(parts)
+    hit = np.zeros(len(t["cls"]), bool)
+    for i, b, _, near in near_pairs(t["side"], t["n"], t["label"], t["sketch"]):
+        hit[i] |= near.any(axis=1)
+        hit[b] |= near.any(axis=0)
+    if hit.any():
+        found = np.unique(t["cls"][hit])
+        yield pa.record_batch([pa.array(np.full(len(found), t["key"][0])), pa.array(found)], ["key", "cls"])
+
+
+def _forest(percent: int):
+    def run(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        t = _whole(parts)
+        if links := block_links(percent, int(t["key"][0]), *[t[c] for c in ("side", "cls", "label", "tokens", "sketch", "opens")]):
+            x, y = np.array(links, np.int64).T
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return run
 
 
+def _blocks(marked: DataFrame, row_bytes: list[int]) -> DataFrame:
+    """(key, i, j, side, cls, label): in groups of several components the members outside the largest (left) meet all (right); one of groups with the same members is enough.
+
+    Chunks hold at most ``BLOCK_ROWS`` members and ``BLOCK_BYTES`` (``row_bytes``: of a member, by band).
+    """
+    by_label = marked.groupBy("key", "label").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
+    open_keys = by_label.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"), *[F.bit_xor(h).alias(h) for h in ("h1", "h2")]).filter("top.n < m")
+    open_keys = open_keys.groupBy("m", "h1", "h2").agg(F.min(F.struct("key", "top")).alias("one")).select("m", "one.*")
+    rows = F.lit(BLOCK_ROWS)
+    for i, n in enumerate(row_bytes):
+        if (most := BLOCK_BYTES // n) < BLOCK_ROWS:
+            rows = F.when(F.col("key").bitwiseAND(63) == i, max(16, most)).otherwise(rows)
+    chunks = [F.ceil(x / rows).cast("int").alias(c) for x, c in ((F.col("m") - F.col("top.n"), "r"), (F.col("m"), "c"))]
+    members = marked.join(open_keys.select("key", F.col("top.label").alias("largest"), *chunks), "key")
+    rest = F.col("label") != F.col("largest")
+
+    def spot(i: Column, j: Column, side: int) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+
+    c, r = F.pmod(F.xxhash64("cls"), F.col("c")), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("r"))
+    left = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: spot(r, j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    right = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda i: spot(i, c, 1))
+    single = F.when(rest, F.array(spot(F.lit(0), F.lit(0), 2))).otherwise(F.array(spot(F.lit(0), F.lit(0), 1)))
+    at = F.when((F.col("c") == 1) & (F.col("r") == 1), single).otherwise(F.concat(left, right))
+    return members.select("key", "cls", "label", F.explode(at).alias("at")).select("key", "at.*", "cls", "label")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(cls, label) of every linked class: label is the least class that links reach.
 
@@ -386,10 +455,10 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     far = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in bits[1:]), F.bit_count(F.col(f"{bits[0]}a").bitwiseXOR(F.col(f"{bits[0]}b"))))
     near = star.join(sketches("a"), "a").join(sketches("b"), "b").filter(far <= F.floor((F.col("na") + F.col("nb")) / 9)).select("a", "b")
 
-    wanted = kept.select("cls").distinct().join(per_class.select("cls", F.col("rep").alias("doc")), "cls")
-    found = rows.join(wanted.hint("shuffle_hash"), "doc").select("cls", "text", "doc")
+    wanted = kept.select("cls").distinct().join(per_class.select("cls", "own", F.col("rep").alias("doc")), "cls")
+    found = rows.join(wanted.hint("shuffle_hash"), "doc").select("cls", "own", "text")
     # a null or repeated id may bring other texts along: the class tells
-    tokens = found.mapInArrow(_exact_sets, "cls long, tokens binary").dropDuplicates(["cls"])
+    tokens = found.mapInArrow(_exact_sets, "cls long, tokens binary, sketch binary").dropDuplicates(["cls"])
     tokens = written(tokens, "tokens")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -399,29 +468,17 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
 
     links = verified(near, "star-links")
     labels = components(links)
-    marked = kept.join(labels, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-    # a group's members outside its largest component (rest) meet all its members, in blocks
-    by_label = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = by_label.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top")).filter("top.n < m")
-    top = F.lit(0)  # the largest set of the key's band
-    for i, n in enumerate(_TOP.tolist()):
-        top = F.when(F.col("key").bitwiseAND(63) == i, n + n // 4).otherwise(top)
-    rows_a_block = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * top))))
-    blocks = [F.ceil(x / rows_a_block).cast("int").alias(c) for x, c in ((F.col("m") - F.col("top.n"), "r"), (F.col("m"), "c"))]
-    open_keys = open_keys.select("key", F.col("top.label").alias("giant"), *blocks)
-    members = written(marked.join(open_keys, "key"), "open-members")
-    opens = members.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("opens"))
-    rest = F.col("label") != F.col("giant")
-    spot = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    place = F.pmod(F.xxhash64("cls"), F.col("c")), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("r"))
-    left = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: spot(place[1], j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
-    right = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda i: spot(i, place[0], 1))
-    single = F.when(rest, F.array(spot(F.lit(0), F.lit(0), 2))).otherwise(F.array(spot(F.lit(0), F.lit(0), 1)))
-    at = F.when((F.col("c") == 1) & (F.col("r") == 1), single).otherwise(F.concat(left, right))
-    spots = members.select("key", "cls", "label", F.explode(at).alias("at")).select("key", "at.*", "cls", "label")
-    blocks = spots.join(tokens.join(opens, "cls"), "cls")
-    more = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
-    more = written(more, "block-links")
+    marked = written(kept.join(labels, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label")), "marked-groups")
+
+    def dealt(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    top = (_TOP + _TOP // 4).tolist()
+    blocks = _blocks(marked, (BAND_BITS // 4).tolist()).join(per_class.select("cls", "n"), "cls").join(tokens.select("cls", "sketch"), "cls")
+    near = written(dealt(blocks).mapInArrow(_each_block(_near_members, ["side", "cls", "label", "n"], ["sketch"]), "key long, cls long").distinct(), "near-members")
+    opens = near.groupBy("cls").agg(F.collect_set("key").alias("opens"))
+    blocks = _blocks(marked.join(near, ["key", "cls"], "left_semi"), [16 * n for n in top]).join(tokens.join(opens, "cls"), "cls")
+    more = written(dealt(blocks).mapInArrow(_each_block(_forest(percent), ["side", "cls", "label"], ["tokens", "sketch"]), "a long, b long").distinct(), "block-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
