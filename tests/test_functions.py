@@ -177,6 +177,10 @@ def test_patterns_are_java_and_python():
 def test_category_prompts(spark):
     df = spark.createDataFrame([(1, "llm", "models"), (0, "cloud", "credits"), (2, "a_rather_long_key", "x")], "position int, key string, description string")
     assert O.category_prompt_block(df).first().block == "cloud           — credits\nllm             — models\na_rather_long_key — x"
+    block = O.category_prompt_block(O.taxonomy(spark)).first().block.split("\n")
+    assert len(block) == 16 and block[0].startswith("cloud           — AWS/GCP") and block[-1] == "other           — Anything that doesn't fit above"
     assert O.category_prompt_csv(df).first().keys == "cloud, llm, a_rather_long_key"
+    block = O.category_prompt_block(O.taxonomy(spark)).first().block.split("\n")
+    assert len(block) == 16 and block[0].startswith("cloud           — AWS/GCP") and block[-1] == "other           — Anything that doesn't fit above"
     assert O.category_prompt_csv(O.taxonomy(spark)).first().keys.startswith("cloud, llm, llm_api_drop, hosting")
     assert [tuple(r) for r in O.taxonomy_differences(df, df.filter("key <> 'llm'")).collect()] == [("llm", "left")]

@@ -92,6 +92,9 @@ def test_other_feeds(spark):
     page = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"pageProps": {"links": [{"url": "https://good.io/x", "title": "Free pack"}, {"url": "https://youtube.com/c", "title": "me"}, {"link": "mailto:x"}]}}}) + "</script>"
     bio = feeds.bio_payloads(spark.createDataFrame([("h", 0, page), ("e", 1, "none")], "handle string, idx int, html string"), platform="links", as_of=AS_OF).collect()
     assert [(r.external_id, r.text, r.urls) for r in bio] == [("links:h:0:https://good.io/x", "Free pack", ["https://good.io/x"])]
+    blocks = json.dumps({"blocks": [{"link": "https://b.io/y", "label": "Free tool"}, {"url": "https://youtube.com/c", "title": "me"}]})
+    bio = feeds.bio_payloads(spark.createDataFrame([("h", 0, blocks), ("n", 1, None)], "handle string, idx int, html string"), platform="links", as_of=AS_OF).collect()
+    assert [(r.external_id, r.text, r.urls) for r in bio] == [("links:h:0:https://b.io/y", "Free tool", ["https://b.io/y"])]
 
 
 def test_board_and_articles(spark):
@@ -118,6 +121,7 @@ def test_captures(spark):
     media = {"a": {"code": "C1", "caption": {"text": "go http://a.io"}, "taken_at": 1000, "like_count": 3}, "b": {"shortcode": "C2", "edge_media_to_caption": {"edges": [{"node": {"text": "old http://b.io"}}]}, "edge_liked_by": {"count": 7}}, "c": {"code": "C3", "caption": None}, "d": {"code": "not media"}, "u": {"username": "me", "external_url": "http://bio.io", "biography": "hi"}, "u2": {"username": "me", "external_url": "http://bio.io"}}
     got = captures.media_payloads(spark.createDataFrame([(1, "me", json.dumps(media))], "capture long, handle string, body string"))
     assert rows_of(got, "external_id", "urls") == [("instagram:C1", ["http://a.io"]), ("instagram:C2", ["http://b.io"]), ("instagram:bio:me", ["http://bio.io"])]
+    assert rows_of(got, "engagement", "published_at") == [('{"likes":3,"comments":0}', "1970-01-01T00:16:40+00:00"), ('{"likes":7,"comments":0}', None), ("{}", None)]
     page = '<div class="tgme_widget_message_text js">Get <a href="https://good.io">free</a> now</div><div class="x">skip</div><div class="tgme_widget_message_text">chat only</div><div class="tgme_widget_message_text"><a href="https://t.me/x">join</a></div>'
     got = captures.webview_payloads(spark.createDataFrame([("c", page), ("n", None)], "channel string, html string"), as_of=AS_OF)
     assert rows_of(got, "external_id", "text", "urls") == [("tg_web:c:0", "Get free now", ["https://good.io"])]
@@ -320,6 +324,38 @@ def test_render_and_outcomes(spark):
 # --- state, reports, streams ----------------------------------------------------------------------------------
 
 
+def test_diversify_matches_the_loop(spark):
+    rng = np.random.default_rng(5)
+    data = [("ab"[i % 2], f"{i:03}", sorted({f"t{x}" for x in rng.integers(0, 25, rng.integers(0, 6))})) for i in range(60)]
+    data += [("c", "900", ["x"])]
+    df = spark.createDataFrame(data, "lane string, position string, tags array<string>").repartition(4)
+    want = []
+    for name in "abc":
+        left, seen = sorted((p, t) for n, p, t in data if n == name), set()
+        for _ in range(min(6, len(left))):
+            best = max(left, key=lambda x: (len(set(x[1]) - seen), -int(x[0])))
+            seen |= set(best[1])
+            left.remove(best)
+            want.append((name, best[0]))
+    assert rows_of(dispatch.diversify(df, k=6, lane_col="lane"), "lane", "position") == sorted(want)
+    assert dispatch.diversify(df.limit(0), k=6, lane_col="lane").count() == 0
+
+
+def test_signal_words_lose_no_match(spark):
+    """The plain search before each pattern never hides a match."""
+    from tidewheel.functions import fixed_values as V
+    from tidewheel.functions import signals as S
+
+    texts = ["Base_URL = https://x.y", "api-key: " + "a" * 22, "try Venice.ai", "deepseek v3", "Qwen 2", "free llm access", "FREE api  credits", "$5 in free tokens", "register to get free", "openai-compatible API is free", "no credit card needed", "unlimited requests per day", "daily reset is free",
+             "lifetime license", "100 % off", "one year premium", "AppSumo", "promo: ABC", "coupon code XYZ1", "use code AB12", "10% off with", "1 year free", "heygen trick", "invite code: ABCD", "use coupon ABCD", "code : Abcd", "open-source alternative to", "replaces Notion", "github.com/a/b released", "show hn", "today open sourced",
+             "https://github.com/a/b", "x.edu.pk", "NY IP", "free google ai pro", "gemini free", "google one ai", "github student", "jetbrains student", "figma for education", "student pack", "nothing", None]
+    plain = F.lit(None).cast("string")
+    for name, pattern in reversed(V.SIGNALS):
+        plain = F.when(F.col("t").rlike(pattern), name).otherwise(plain)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.classify_signal(F.col("t")).alias("a"), plain.alias("b"), S.promo_code_present(F.col("t")).alias("p"), F.col("t").rlike(V.PROMO_CODE).alias("q")).collect()
+    assert all(r.a == r.b and r.p == r.q for r in rows) and sum(r.a is not None for r in rows) == len(texts) - 2
+
+
 def test_upserts(spark):
     raw = tables(spark, 3)[0].withColumn("attempts", F.lit(2))
     new = spark.createDataFrame([(1, "1", "p", 1), (1, "1", "q", 2), (9, "x", "r", 1)], "source_id long, external_id string, raw_payload string, seq int")
@@ -362,26 +398,31 @@ def test_streams(spark, tmp_path):
     for part in range(3):
         events.filter(f"seq div 10 = {part}").coalesce(1).write.mode("append").parquet(src)
     stream = jobs.read(spark, src, events.schema, files_per_batch=1)
-    jobs.run_to_memory(jobs.source_health(stream), "health_t").awaitTermination()
-    last = spark.table("health_t").groupBy("source_id").agg(F.max("consecutive_failures").alias("m"))
-    want = {r.source_id: r for r in state.fold_health(events).collect()}
-    final = spark.table("health_t").filter("true").collect()
-    newest = {}
-    for r in final:
-        old = newest.get(r.source_id)
-        if old is None or (r.last_success or NOW.min, r.last_error or NOW.min) >= (old.last_success or NOW.min, old.last_error or NOW.min):
-            newest[r.source_id] = r
-    assert {k: tuple(v) for k, v in newest.items()} == {k: tuple(v) for k, v in want.items()} and last.count() == 4
+    got = jobs.drained(jobs.source_health(stream), "health_t", mode="update", keys=["source_id"])
+    assert rows_of(got) == rows_of(state.fold_health(events))
+    days = jobs.drained(jobs.daily_counts(jobs.read(spark, src, events.schema, files_per_batch=1), time_col="ts"), "days_t", mode="complete")
+    assert rows_of(days) == rows_of(events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")))
+    once = jobs.drained(jobs.suppress_repeats(jobs.read(spark, src, events.schema, files_per_batch=1), keys=["source_id"], time_col="ts", within="1000 days").select("source_id"), "once_t", mode="append")
+    assert rows_of(once) == [(0,), (1,), (2,), (3,)]
+    tries = jobs.read(spark, src, events.schema, files_per_batch=1).selectExpr("source_id AS raw_item_id", "ts", "seq", "seq = 29 AS permanent", "error AS reason")
+    got = jobs.drained(jobs.retry_counts(tries, max_attempts=8), "retry_t", mode="update", keys=["raw_item_id"])
+    assert rows_of(got) == [(0, 8, True, "e28"), (1, 8, True, "e29"), (2, 7, False, "e26"), (3, 7, False, "e27")]
     raw_schema = tables(spark)[0].schema
     items = spark.range(20).selectExpr("id % 2 AS source_id", "cast(id % 5 as string) AS external_id", "concat('p', id) AS raw_payload", "id AS seq")
     items.write.parquet(f"{tmp_path}/items")
-    table = jobs.Table(spark, f"{tmp_path}/raw", raw_schema)
+    table = jobs.Table(spark, f"{tmp_path}/raw", raw_schema, keys=["source_id", "external_id"], parts=4)
     jobs.ingest(spark, f"{tmp_path}/items", table, f"{tmp_path}/cp1", schema=items.schema, available_now=True).awaitTermination()
     assert rows_of(table.read(), "source_id", "external_id", "raw_payload") == rows_of(items.groupBy("source_id", "external_id").agg(F.max_by("raw_payload", "seq")))
+    before = table._newest(None)
+    spark.createDataFrame([(0, "4", "new", 99)], items.schema).write.mode("append").parquet(f"{tmp_path}/items")
+    jobs.ingest(spark, f"{tmp_path}/items", table, f"{tmp_path}/cp1", schema=items.schema, available_now=True).awaitTermination()
+    assert sum(v != before[p] for p, v in table._newest(None).items()) == 1  # one part is written anew
+    assert table.read().count() == 10 and rows_of(table.read().filter("source_id = 0 and external_id = '4'"), "raw_payload") == [("new",)]
     msgs = spark.range(1, 31).selectExpr("concat('c', id % 2) AS channel", "id AS message_id")
     msgs.write.parquet(f"{tmp_path}/msgs")
-    cursors = jobs.Table(spark, f"{tmp_path}/cursors", "channel string, last_message_id long")
-    cursors.replace(lambda old: spark.createDataFrame([("c1", 9)], "channel string, last_message_id long"), -1)
+    cursors = jobs.Table(spark, f"{tmp_path}/cursors", "channel string, last_message_id long", keys=["channel"])
+    start = spark.createDataFrame([("c1", 9)], "channel string, last_message_id long")
+    cursors.replace(lambda old: start, start, -1)
     jobs.pull(spark, f"{tmp_path}/msgs", f"{tmp_path}/out", cursors, f"{tmp_path}/cp2", schema=msgs.schema, available_now=True).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 25 and rows_of(cursors.read()) == [("c0", 30), ("c1", 29)]
     leases = spark.createDataFrame([(1, NOW, "claimed"), (2, NOW, "claimed"), (2, NOW + dt.timedelta(minutes=1), "sent")], "dispatch_id long, ts timestamp, event string")

@@ -1,12 +1,14 @@
 """Lists, patterns and limits that results depend on, stated as they are."""
 
 # --- fixed values: URL normalisation -------------------------------------------------
-TRACKING_PARAMS = (
-    "fbclid gclid dclid gbraid wbraid msclkid twclid yclid ysclid igsh igshid tiktok_rider ttclid gad_source "
-    "gad_campaignid cmpid cvid ogclid mc_cid mc_eid ref ref_src ref_url referrer fb_ref fb_source share_source "
-    "share_medium share_id spm scm branch_match_id oly_anon_id oly_enc_id"
-).split()
-TRACKING_PREFIXES = "utm_ hsa_ pk_ mc_ elq vero_ trk _ga _gl _branch orchestrator_".split()
+TRACKING_PARAMS = [
+    "fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "twclid", "yclid", "ysclid", "igsh", "igshid", "tiktok_rider", "ttclid", "gad_source",
+    "gad_campaignid", "cmpid", "cvid", "ogclid", "mc_cid", "mc_eid", "ref", "ref_src", "ref_url", "referrer", "fb_ref", "fb_source", "share_source",
+    "share_medium", "share_id", "spm", "scm", "branch_match_id", "oly_anon_id", "oly_enc_id",
+]
+TRACKING_PREFIXES = [
+    "utm_", "hsa_", "pk_", "mc_", "elq", "vero_", "trk", "_ga", "_gl", "_branch", "orchestrator_",
+]
 MAX_URL_LENGTH, MAX_URL_SLASHES = 300, 12
 
 # --- fixed values: text cleaning (Java syntax, (?U) for Unicode classes) ---------------
@@ -26,8 +28,14 @@ DEAL_SIGNAL = r"(?i)(free|credit|promo|coupon|discount|deal|trial|tier|student|g
 MIN_TEXT = 24
 
 # --- fixed values: signals and noise ----------------------------------------------------
-NOISE_HOSTS = "linktree.me linktr.ee bento.me t.me instagram.com twitter.com x.com tiktok.com youtube.com facebook.com linkedin.com beacons.ai bio.link taplink.cc fonts.googleapis.com schema.org ogp.me".split()
-DEAL_HINTS = "free credit promo deal discount coupon pack student tier trial offer resource course api tool kit grant access launch".split()
+NOISE_HOSTS = [
+    "linktree.me", "linktr.ee", "bento.me", "t.me", "instagram.com", "twitter.com", "x.com", "tiktok.com", "youtube.com", "facebook.com", "linkedin.com",
+    "beacons.ai", "bio.link", "taplink.cc", "fonts.googleapis.com", "schema.org", "ogp.me",
+]
+DEAL_HINTS = [
+    "free", "credit", "promo", "deal", "discount", "coupon", "pack", "student", "tier", "trial", "offer", "resource", "course", "api", "tool", "kit",
+    "grant", "access", "launch",
+]
 GITHUB_REPO = r"https?://github\.com/(?!(?:login|signup|explore|topics|trending|features|marketplace|pricing))([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)"
 SIGNALS = [  # the first that is found gives the label
     ("llm_api_drop", r"(?i)(?:base[\s_-]?url\s*[=:]\s*https?://\S+|api[\s_-]?key\s*[=:]\s*[A-Za-z0-9_\-]{20,}|(?:venice|opencode|openrouter|together|groq|fireworks|deepseek)[\s.-]ai\b|deepseek[\s.-]?v\d|qwen[\s.-]?\d|free\s+(?:api|llm|model)\s+(?:key|access|credits?))"),
@@ -61,11 +69,25 @@ LAUNCH_KEYWORDS = [
     "hosting", "deploy", "automation", "lifetime", "student", "boilerplate", "template", "plugin", "library",
 ]
 
-# --- fixed values: taxonomy (key, emoji, colour) -------------------------------------------
+# --- fixed values: taxonomy (key, emoji, colour, description) --------------------------------
 CATEGORIES = [
-    ("cloud", "☁️", 0x0EA5E9), ("llm", "🧠", 0x8B5CF6), ("llm_api_drop", "🔑", 0x6D28D9), ("hosting", "🖥️", 0xF59E0B), ("domain", "🌐", 0x10B981), ("tools", "🧰", 0x6366F1), ("student", "🎓", 0xEC4899), ("student_pack", "🎒", 0xDB2777),
-    ("course", "📚", 0x14B8A6), ("coupon", "🏷️", 0xEF4444), ("ai_tools", "🤖", 0xA855F7), ("coding_agents", "⚡", 0xF97316), ("open_source_repo", "📦", 0x22C55E), ("saas_deal", "💼", 0xF59E42), ("notable_repo", "🌟", 0x2DD4BF), ("other", "✨", 0x64748B),
-]
+    ("cloud", "☁️", 0x0EA5E9, "AWS/GCP/Azure/DigitalOcean/Hetzner/Fly.io free tiers and credits"),
+    ("llm", "🧠", 0x8B5CF6, "General LLM API free tiers (OpenAI, Anthropic, Groq, Together, etc.)"),
+    ("llm_api_drop", "🔑", 0x6D28D9, 'Specifically: unofficial/limited-time free API keys, base URL drops, "use my key" style shares, rate-limited shared endpoints'),
+    ("hosting", "🖥️", 0xF59E0B, "Web hosting, PaaS, static sites (Vercel, Netlify, Railway, Render)"),
+    ("domain", "🌐", 0x10B981, "Free or discounted domain registrations"),
+    ("tools", "🧰", 0x6366F1, "General developer tools, databases, CI/CD, monitoring"),
+    ("student", "🎓", 0xEC4899, "Broad student benefit programs (GitHub Education, JetBrains, etc.)"),
+    ("student_pack", "🎒", 0xDB2777, "Specific curated student pack deals (.edu, .edu.pk, geo-restricted student offers)"),
+    ("course", "📚", 0x14B8A6, "Online courses, bootcamps, certifications"),
+    ("coupon", "🏷️", 0xEF4444, "One-off discount/promo codes for any dev product"),
+    ("ai_tools", "🤖", 0xA855F7, "AI-coding tools with free tiers (Cursor, Lovable, Manus, Windsurf, v0, Bolt, Replit)"),
+    ("coding_agents", "⚡", 0xF97316, "Autonomous coding-agent platforms or IDE plugins with promo tiers"),
+    ("open_source_repo", "📦", 0x22C55E, "Free open-source projects (GitHub repos) that replace paid tools"),
+    ("saas_deal", "💼", 0xF59E42, 'SaaS lifetime deals, AppSumo-style offers, "1 year free" promotions'),
+    ("notable_repo", "🌟", 0x2DD4BF, "Genuinely notable / trending open-source repo surfaced for discovery (not a deal). Item-4b non-deal lane; kept out of Discord dispatch until enabled. Emitted ONLY for items marked extra.is_repo."),
+    ("other", "✨", 0x64748B, "Anything that doesn't fit above"),
+]
 OFFER_TYPES = ["credit", "grant", "vps", "domain", "license", "subscription", "code", "giveaway", "other"]
 
 # --- fixed values: liveness, dispatch --------------------------------------------------------
@@ -74,7 +96,8 @@ FENCE_OPEN, FENCE_CLOSE = "<<<UNTRUSTED_POST_TEXT>>>", "<<<END_UNTRUSTED_POST_TE
 CHANNELS = ["discord", "email", "web"]
 LEASE_MINUTES, MAX_RECLAIM, DAILY_CAP = 15, 20, 8
 LIMITS = {"title": 256, "description": 4096, "field_value": 1024}
-STOP_WORDS = (
-    "the for and with from your you this that are was has have all any can get use new via not but app api ml llm tool tools open source free github repo repos cli sdk lib library framework "
-    "based using model models project code data self hosted awesome list simple fast best"
-).split()
+STOP_WORDS = [
+    "the", "for", "and", "with", "from", "your", "you", "this", "that", "are", "was", "has", "have", "all", "any", "can", "get", "use", "new", "via",
+    "not", "but", "app", "api", "ml", "llm", "tool", "tools", "open", "source", "free", "github", "repo", "repos", "cli", "sdk", "lib", "library",
+    "framework", "based", "using", "model", "models", "project", "code", "data", "self", "hosted", "awesome", "list", "simple", "fast", "best",
+]

@@ -16,7 +16,7 @@ REPLY = (
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, k, e, c) for i, (k, e, c) in enumerate(V.CATEGORIES)], "position int, key string, emoji string, color int")
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(V.CATEGORIES)], "position int, key string, emoji string, color int, description string")
 
 
 def hex_color(color: Column) -> Column:
@@ -29,11 +29,11 @@ def _coerce(c: Column, known: list[str]) -> Column:
 
 
 def is_valid_category(c: Column) -> Column:
-    return F.coalesce(c.isin([k for k, _, _ in V.CATEGORIES]), F.lit(False))
+    return F.coalesce(c.isin([c[0] for c in V.CATEGORIES]), F.lit(False))
 
 
 def coerce_category(c: Column) -> Column:
-    return _coerce(c, [k for k, _, _ in V.CATEGORIES])
+    return _coerce(c, [c[0] for c in V.CATEGORIES])
 
 
 def coerce_offer_type(c: Column) -> Column:
@@ -134,7 +134,10 @@ def validate_offers(df: DataFrame, json_col: str) -> DataFrame:
         o["verification"].alias("verification"),
         _flag(o["eligibility_required"]).alias("eligibility_required"),
     )
-    return parsed.withColumn("reject_reasons", reasons).withColumn("offer", F.when(F.size("reject_reasons") == 0, offer)).drop("__reply")
+    marked = parsed.withColumn("reject_reasons", reasons)
+    # exploded, so that fields of the offer that are read later do not each evaluate it anew
+    one = F.explode(F.array(F.struct("reject_reasons", F.when(F.size("reject_reasons") == 0, offer).alias("offer")))).alias("__one")
+    return marked.select(*df.columns, one).select(*df.columns, "__one.reject_reasons", "__one.offer")
 
 
 def category_prompt_block(categories: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,26 +12,47 @@ from . import fixed_values as V
 
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether the lower-cased text holds one of the words, anywhere."""
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(re.escape(w) for w in words))
+    return _holds(F.lower(F.coalesce(text, F.lit(""))), [(w,) for w in words])
 
 
-def classify_signal(text: Column) -> Column:
+def _holds(low: Column, sets: list[tuple[str, ...]]) -> Column:
+    """Whether the text holds all words of one of the sets; plain search, no pattern."""
+    tests = [reduce(Column.__and__, [low.contains(w) for w in words]) for words in sets]
+    return reduce(Column.__or__, tests)
+
+
+#: Words of which a match of each pattern in SIGNALS holds one set at least, in lower case.
+_ANCHORS = [
+    [("base", "url", "http"), ("api", "key"), *[(w, "ai") for w in ("venice", "opencode", "openrouter", "together", "groq", "fireworks")], ("deepseek",), ("qwen",), *[("free", a, b) for a in ("api", "llm", "model") for b in ("key", "access", "credit")]],
+    [("free", "api", "credit"), ("$", " in ", "free"), ("$", "in", "free"), ("register", "get", "free"), ("openai", "compatible", "free"), ("no", "credit", "card"), ("day", "token"), ("day", "request"), ("daily", "reset", "free")],
+    [("lifetime",), ("100", "%", "off"), ("1", "year"), ("one", "year"), ("appsumo",), ("saasmantra",), ("pitchground",), ("dealmirror",)],
+    [("promo", "code"), ("promo", ":"), ("coupon",), ("use", "code"), ("%", "off"), ("1", "year", "free"), ("heygen", "trick"), ("lifetime",), ("appsumo",)],
+    [*[(w, c) for w in ("promo", "coupon", "invite", "discount") for c in ":-"], ("use", "code"), ("use", "coupon"), ("code", ":")],
+    [("open", "source"), ("replace",), ("github.com/",), ("show", "hn"), ("just", "launched"), ("today", "launched")],
+    [("://github.com/",)],
+    [(".edu.pk",), (".edu.bd",), ("ny", "ip"), ("free", "google"), ("gemini",), ("google", "one"), ("github", "student"), ("github", "education"), ("jetbrains",), ("figma",), ("student", "pack")],
+]
+
+
+def classify_signal(text: Column, low: Column | None = None) -> Column:
+    """The first signal whose pattern the text holds; ``low``: the text in lower case, where it is at hand."""
+    low = F.lower(text) if low is None else low
     label = F.lit(None).cast("string")
-    for name, pattern in reversed(V.SIGNALS):
-        label = F.when(text.rlike(pattern), name).otherwise(label)
+    for (name, pattern), words in reversed(list(zip(V.SIGNALS, _ANCHORS, strict=True))):
+        label = F.when(_holds(low, words) & text.rlike(pattern), name).otherwise(label)
     return label
 
 
-def has_deal_hint(text: Column) -> Column:
-    return has_any(text, V.DEAL_HINTS)
+def has_deal_hint(text: Column, low: Column | None = None) -> Column:
+    return has_any(text, V.DEAL_HINTS) if low is None else _holds(low, [(w,) for w in V.DEAL_HINTS])
 
 
 def extract_github_repos(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(V.GITHUB_REPO), F.lit(0))
 
 
-def promo_code_present(text: Column) -> Column:
-    return text.rlike(V.PROMO_CODE)
+def promo_code_present(text: Column, low: Column | None = None) -> Column:
+    return _holds(F.lower(text) if low is None else low, _ANCHORS[4]) & text.rlike(V.PROMO_CODE)
 
 
 def promo_code(text: Column) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import fixed_values as V
 from ..functions.offers import taxonomy
 from ..functions.signals import diversity_tags
 from ..functions.text import format_value, humanize_expiry, python_title, truncate
+from .state import written
 
 
 def validate_channel(channel: str) -> str:
@@ -97,21 +98,27 @@ def sent_today(offers: DataFrame, dispatches: DataFrame, *, channel: str, catego
 
 
 def diversify(candidates: DataFrame, *, k: int, lane_col: str) -> DataFrame:
-    """Of each lane (candidates with position and tags) the k that cover most new tags, greedily; ties to the oldest.
+    """Of each lane (candidates with position and tags) the k that cover most new tags, greedily; ties to the least position.
 
-    A lane's waiting candidates are few and go to one task; limit them before if they are not.
+    k rounds, each one aggregate over all candidates that finds the best of every lane; lanes are
+    categories, so what the driver holds (k picks a lane and their tags) is bounded.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position", kind="stable")
-        left, seen, keep = {i: set(t) for i, t in enumerate(pdf["tags"])}, set(), []
-        while left and len(keep) < k:
-            best = max(left, key=lambda i: (len(left[i] - seen), -i))
-            seen |= left.pop(best)
-            keep.append(best)
-        return pdf.iloc[keep]
-
-    return candidates.groupBy(lane_col).applyInPandas(one, candidates.schema)
+    spark = candidates.sparkSession
+    rows = written(candidates, "candidates")
+    keys = rows.select(lane_col, "position")
+    none = F.array().cast("array<string>")
+    picks: dict = {}
+    for _ in range(k):
+        known = spark.createDataFrame([(lane, sorted(set().union(*[t for _, t in got])), [p for p, _ in got]) for lane, got in picks.items()], StructType([rows.schema[lane_col], StructField("seen", ArrayType(StringType())), StructField("taken", ArrayType(rows.schema["position"].dataType))]))
+        left = rows.join(F.broadcast(known), lane_col, "left").filter(~F.coalesce(F.array_contains("taken", F.col("position")), F.lit(False)))
+        gain = F.size(F.array_except("tags", F.coalesce("seen", none)))
+        best = left.groupBy(lane_col).agg(F.min_by(F.struct("position", "tags"), F.struct(-gain, "position")).alias("best")).collect()
+        if not best:
+            break
+        for lane, (position, tags) in best:
+            picks.setdefault(lane, []).append((position, tags))
+    picked = spark.createDataFrame([(lane, p) for lane, got in picks.items() for p, _ in got], keys.schema)
+    return rows.join(F.broadcast(picked), [lane_col, "position"], "left_semi").select(candidates.columns)
 
 
 def cap_exclusions(offers: DataFrame, dispatches: DataFrame, *, channel: str, category: str, cap: int = V.DAILY_CAP, as_of: Column, held: tuple[str, ...] = ()) -> DataFrame:

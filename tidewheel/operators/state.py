@@ -5,27 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir (a temporary one only where none is set) and read back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; in local mode a temporary folder serves where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert_raw_items(existing: DataFrame, new: DataFrame, *, as_of: Column) -> DataFrame:
-    """By (source_id, external_id) the new payload wins and is stamped; attempt fields of known rows stay."""
+    """By (source_id, external_id) the new payload (of several, that of the greatest ``seq``, then the greatest) wins and is stamped; attempt fields of known rows stay."""
     key = ["source_id", "external_id"]
-    last = new.groupBy(*key).agg(F.last("raw_payload").alias("new_payload") if "seq" not in new.columns else F.max_by("raw_payload", "seq").alias("new_payload"))
+    last = new.groupBy(*key).agg(F.max_by("raw_payload", F.struct("seq", "raw_payload")).alias("new_payload"))
     both = existing.join(last, key, "full_outer")
     fresh = F.col("new_payload").isNotNull()
     changed = {"raw_payload": F.coalesce("new_payload", "raw_payload"), "fetched_at": F.when(fresh, as_of).otherwise(F.col("fetched_at")), "attempts": F.coalesce("attempts", F.lit(0)), "permanently_rejected": F.coalesce("permanently_rejected", F.lit(False)), "id": F.coalesce("id", F.xxhash64(*key))}
@@ -64,7 +70,7 @@ def run_audit(outcomes: DataFrame, *, as_of: Column) -> DataFrame:
 def fold_health(events: DataFrame) -> DataFrame:
     """Events (source_id, ts, seq, ok, error) -> last success and error, and failures since the last success.
 
-    A running count of successes numbers the spells, so one window sort serves all.
+    Aggregates only: the last success of each source, then the failures after it.
     """
     order = F.struct("ts", "seq")
     last = events.groupBy("source_id").agg(F.max(F.when(F.col("ok"), order)).alias("good"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"), F.max(F.when(~F.col("ok"), F.col("ts"))).alias("last_error"), F.max_by(F.coalesce("error", F.lit("unknown error")), F.when(~F.col("ok"), order)).alias("last_error_message"))

@@ -65,7 +65,8 @@ def _clean_sql(url: str) -> str:
 FROM (SELECT doc_id, {_reason_sql('text')} AS reason, {_clean_sql('url')} AS clean FROM posts)) GROUP BY outcome""")
 def post_outcomes(spark, sf_dir):
     """Posts through normalising, prefilter and URL gate, counted by outcome. Only keys and reasons are shuffled."""
-    rows = T.posts(spark, sf_dir).select(U.clean_url(F.col("url")).alias("clean"), X.prefilter_reason(F.col("text"), F.lit(False)).alias("reason"))
+    reason = X.prefilter_reason(F.col("text"), F.lit(False)).alias("reason")
+    rows = T.posts(spark, sf_dir, reason).select(U.clean_url(F.col("url")).alias("clean"), "reason")
     kept = F.col("reason") == ""
     groups = rows.groupBy("reason", F.when(kept, F.col("clean")).alias("clean")).agg(F.count("*").alias("n"))
     first = F.when(kept, "candidate").otherwise(F.col("reason"))
@@ -90,13 +91,14 @@ def url_profile(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_reason_sql('text')} AS reason FROM documents")
 def prefilter_outcomes(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").select("doc_id", X.prefilter_reason(F.col("text"), F.lit(False)).alias("reason"))
+    return T.spread(T.table(spark, sf_dir, "documents")).select("doc_id", X.prefilter_reason(F.col("text"), F.lit(False)).alias("reason"))
 
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_re2(p)}') THEN '{n}'" for n, p in V.SIGNALS) + " END AS signal, regexp_matches(lower(text), '" + "|".join(V.DEAL_HINTS) + f"') AS hint, regexp_matches(text, '{_re2(V.PROMO_CODE)}') AS promo FROM documents")
 def classify_signals(spark, sf_dir):
-    t = F.col("text")
-    return T.table(spark, sf_dir, "documents").select("doc_id", S.classify_signal(t).alias("signal"), S.has_deal_hint(t).alias("hint"), S.promo_code_present(t).alias("promo"))
+    t, low = F.col("text"), F.col("low")
+    docs = T.spread(T.table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("low", F.lower("text"))
+    return docs.select("doc_id", S.classify_signal(t, low).alias("signal"), S.has_deal_hint(t, low).alias("hint"), S.promo_code_present(t, low).alias("promo"))
 
 
 @query()
@@ -112,12 +114,12 @@ def token_estimates(spark, sf_dir):
 @query()
 def clean_texts(spark, sf_dir):
     """Whole pages as clean text (no SQL: HTML parsing and back-references)."""
-    return T.table(spark, sf_dir, "pages").select("page_id", X.clean_text(F.col("html")).alias("text"))
+    return T.spread(T.table(spark, sf_dir, "pages")).select("page_id", X.clean_text(F.col("html")).alias("text"))
 
 
 @query()
 def page_links(spark, sf_dir):
-    return T.table(spark, sf_dir, "pages").select("page_id", F.posexplode(X.html_links(F.col("html"))).alias("pos", "href"))
+    return T.spread(T.table(spark, sf_dir, "pages")).select("page_id", F.posexplode(X.html_links(F.col("html"))).alias("pos", "href"))
 
 
 @query(r"SELECT doc_id, pos - 1 AS pos, url FROM (SELECT doc_id, unnest(l) AS url, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, [first_value] || [url] AS l FROM (SELECT doc_id, url, 'http://x.y/' || doc_id AS first_value FROM posts)))")
@@ -141,33 +143,6 @@ def search_results(spark, sf_dir):
     return feeds.search_payloads(rows).select("external_id", "text", F.col("urls")[0].alias("url"))
 
 
-@query("SELECT CAST(doc_id % 700 AS varchar) AS external_id, min({'t': term_pos, 'd': doc_id}).d AS doc_id FROM (SELECT doc_id, doc_id % 5 AS term_pos FROM documents WHERE n_chars > 100) GROUP BY doc_id % 700")
-def first_term_hits(spark, sf_dir):
-    """Link-board hits: liked and recent ones, the first term of each id wins."""
-    hits = T.table(spark, sf_dir, "documents").select((F.col("doc_id") % 700).cast("string").alias("objectID"), (F.col("doc_id") % 5).alias("term_pos"), F.col("doc_id").alias("hit_pos"), (F.col("n_chars") - 95).alias("points"), F.lit(1).cast("long").alias("num_comments"), F.lit(2000000000).cast("long").alias("created_at_i"), F.col("doc_id").cast("string").alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("story_text"), F.lit("a").alias("author"), F.lit("").alias("created_at"), F.lit("x").alias("term"))
-    kept = feeds.hn_payloads(feeds.hn_select(hits, as_of=T.as_of()))
-    return kept.select("external_id", F.col("urls")[0].cast("long").alias("doc_id"))
-
-
-@query("SELECT CAST(doc_id AS varchar) AS external_id FROM documents WHERE n_chars >= 300 AND regexp_matches(lower('open ' || left(text, 3000) || ' '), '" + "|".join(V.REDDIT_KEYWORDS).replace(".", "[.]") + "') OR (n_chars >= 300 AND source IN ('src1'))")
-def forum_posts(spark, sf_dir):
-    flair = F.when(F.col("source") == "src1", "Freebie").otherwise("")
-    posts = T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("open").alias("title"), F.substring("text", 1, 3000).alias("selftext"), flair.alias("link_flair_text"), F.lit(2000000000).cast("long").alias("created_utc"), (F.col("n_chars") / 100).cast("long").alias("score"), F.lit(None).cast("double").alias("upvote_ratio"), F.lit(0).cast("long").alias("num_comments"), F.lit("s").alias("subreddit"), F.lit("").alias("url"), F.lit("/p").alias("permalink"), F.lit(None).cast("string").alias("author"), F.lit(True).alias("is_self"))
-    return feeds.reddit_payloads(posts, as_of=T.as_of()).select("external_id")
-
-
-@query("SELECT source AS file, line, url, section FROM (SELECT source, doc_id * 2 + 1 AS line, 'http://h' || (doc_id % 9) || '.io/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'dns' ELSE 'other things' END AS section, doc_id FROM documents) WHERE section = 'dns' OR doc_id % 2 = 0")
-def markdown_sections(spark, sf_dir):
-    """Links of one long Markdown file a source, with the heading above each."""
-    d = F.col("doc_id").cast("string")
-    entry = F.concat(F.lit("## "), F.when(F.col("doc_id") % 3 == 0, "DNS").otherwise("Other things"), F.lit("\n- [n]("), F.concat(F.lit("http://h"), (F.col("doc_id") % 9).cast("string"), F.lit(".io/"), d), F.lit(") "), F.when(F.col("doc_id") % 2 == 0, "Free").otherwise("paid"), F.lit(" and [repo](https://github.com/a/b)"))
-    docs = T.table(spark, sf_dir, "documents").select("source", "doc_id", entry.alias("entry"))
-    files = docs.select(F.concat_ws("/", "source", d).alias("file"), F.col("entry").alias("content"))
-    links = feeds.markdown_links(files)
-    doc = F.split("file", "/")[1].cast("long")
-    return links.select(F.split("file", "/")[0].alias("file"), (doc * 2 + F.col("line")).alias("line"), "url", "section")
-
-
 @query()
 def message_pages(spark, sf_dir):
     """Web pages read as channel pages (no SQL: HTML parsing)."""
@@ -177,18 +152,6 @@ def message_pages(spark, sf_dir):
     return captures.webview_payloads(pages, as_of=T.as_of()).select("external_id", "text", F.size("urls").alias("n_urls"))
 
 
-@query("SELECT 'twitter:' || event_id AS external_id, 'twitter:u' || user_id AS author_handle, 'http://e.io/' || event_id AS url FROM events WHERE event_id % 2 = 0")
-def captured_posts(spark, sf_dir):
-    """Nested API bodies; posts without a link are dropped."""
-    e = F.col("event_id").cast("string")
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("look http://e.io/"), e, F.lit("!"))).otherwise("no link")
-    legacy = F.struct(e.alias("id_str"), text.alias("full_text"), F.lit("Wed Aug 27 12:00:00 +0000 2026").alias("created_at"))
-    core = F.struct(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("screen_name")).alias("user"))
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(legacy.alias("legacy"), core.alias("core")).alias("result"))).alias("entries")))
-    rows = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("capture"), body.alias("body"))
-    return captures.tweet_payloads(rows).select("external_id", "author_handle", F.col("urls")[0].alias("url"))
-
-
 # --- selection -----------------------------------------------------------------------------
 
 _POOL = "pool AS (SELECT s.*, x.name FROM state s JOIN sources x ON x.id = source_id WHERE enabled AND NOT permanently_rejected AND NOT has_offer)"
@@ -285,13 +248,15 @@ def semantic_pairs(spark, sf_dir):
 
 @query()
 def greedy_dedup(spark, sf_dir):
-    """All three gates over documents and embeddings (no SQL: an order-dependent resolution; the tests hold it against a loop)."""
+    """All three gates over documents and embeddings, a tenth of them known offers (no SQL: an order-dependent resolution; the tests hold it against a loop)."""
     vectors = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    posts = T.posts(spark, sf_dir).join(vectors, "doc_id", "left")
-    rows = posts.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), U.clean_url(F.col("url")).alias("canonical_url"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("category"), F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"))
-    none = T.offers(spark, sf_dir).limit(0)
-    prints = none.select(F.col("id").alias("offer_id"), F.col("title").alias("url_hash"), F.col("title").alias("title_hash"), F.array().cast("array<float>").alias("embedding"))
-    return dedup.dedup(rows, prints, none, as_of=T.as_of(), threshold=0.45)
+    title = F.split("text", "\n")[0]
+    posts = T.posts(spark, sf_dir, title.alias("title")).join(vectors, "doc_id", "left")
+    rows = posts.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), U.clean_url(F.col("url")).alias("canonical_url"), "title", F.col("source").alias("category"), F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"))
+    known = rows.filter("id % 10 = 0")
+    offers = known.select("id", "category", T.as_of().alias("first_seen"))
+    prints = known.select(F.col("id").alias("offer_id"), O.sha256_hex(F.col("canonical_url")).alias("url_hash"), O.sha256_hex(F.lower("title")).alias("title_hash"), "embedding")
+    return dedup.dedup(rows.filter("id % 10 > 0"), prints, offers, as_of=T.as_of(), threshold=0.45)
 
 
 # --- dispatch --------------------------------------------------------------------------------------
@@ -327,10 +292,21 @@ def sent_since(spark, sf_dir):
     return dispatch.sent_today(T.offers(spark, sf_dir), T.dispatches(spark, sf_dir), channel="discord", category="2-HIGH", as_of=F.lit("1995-06-01 13:00:00").cast("timestamp"))
 
 
-@query()
+def _diverse_sql(k: int) -> str:
+    """k picks in a row, each from what the ones before have left."""
+    stop = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
+    tags = f"list_distinct(['org:handle' || o_custkey % 50] || list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({stop})))"
+    sql = f", cand AS MATERIALIZED (SELECT s.id, s.first_seen, {tags} AS tags FROM sendable s JOIN orders ON o_orderkey = s.id WHERE category = '2-HIGH' AND NOT EXISTS (SELECT 1 FROM dispatches d WHERE d.offer_id = s.id AND d.status = 'sent'))"
+    sql += ", p0 AS (SELECT CAST([] AS varchar[]) AS seen, CAST([] AS bigint[]) AS taken)"
+    for i in range(1, k + 1):
+        sql += f", p{i} AS MATERIALIZED (SELECT seen || tags AS seen, taken || [id] AS taken FROM cand, p{i - 1} WHERE NOT list_contains(taken, id) ORDER BY len(list_filter(tags, lambda t: NOT list_contains(seen, t))) DESC, first_seen, id LIMIT 1)"
+    return sql + f" SELECT id FROM cand, p{k} WHERE NOT list_contains(taken, id)"
+
+
+@query(_diverse_sql(8))
 def diverse_pick(spark, sf_dir):
-    """Ids beyond the day's budget of one category (no SQL: a greedy pick)."""
-    return dispatch.cap_exclusions(T.offers(spark, sf_dir), T.dispatches(spark, sf_dir), channel="discord", category="2-HIGH", cap=8, as_of=T.as_of())
+    """Ids beyond the day's budget of one category: a greedy pick of the most diverse stays."""
+    return dispatch.cap_exclusions(T.offers(spark, sf_dir), T.dispatches(spark, sf_dir), channel="discord", category="2-HIGH", cap=8, as_of=F.lit("2010-01-01 00:00:00").cast("timestamp"))
 
 
 @query("""SELECT id, 'Order ' || (id % 501) || ' of ' || category AS title, CASE WHEN value IS NULL THEN '—' ELSE 'USD ' || format('{:,}', CAST(round_even(value, 0) AS bigint)) END AS value,
@@ -475,7 +451,7 @@ def send_outcomes(spark, sf_dir):
 @query("SELECT CAST(coalesce(sum(CASE WHEN o = 'x' THEN 1 END), 0) AS bigint) AS n, 'partial' AS status, CAST(count(*) AS bigint) AS fetched, count(*) FILTER (WHERE o = 'prefiltered') AS prefiltered, count(*) FILTER (WHERE o = 'error') AS errors FROM (SELECT CASE WHEN doc_id % 50 = 7 THEN 'error' WHEN r <> '' THEN 'prefiltered' ELSE 'written' END AS o FROM (SELECT doc_id, " + _reason_sql("text") + " AS r FROM documents))")
 def run_audit(spark, sf_dir):
     """Outcomes of a run over all documents, as one audit row."""
-    docs = T.table(spark, sf_dir, "documents").select(F.array(F.lit("u")).alias("urls"), X.prefilter_reason(F.col("text"), F.lit(False)).alias("prefilter"), F.lit("live").alias("liveness"), F.lit(True).alias("reply_seen"), F.array().cast("array<string>").alias("reject_reasons"), F.lit(None).cast("string").alias("dup_basis"), F.when(F.col("doc_id") % 50 == 7, "x").alias("error"))
+    docs = T.spread(T.table(spark, sf_dir, "documents")).select(F.array(F.lit("u")).alias("urls"), X.prefilter_reason(F.col("text"), F.lit(False)).alias("prefilter"), F.lit("live").alias("liveness"), F.lit(True).alias("reply_seen"), F.array().cast("array<string>").alias("reject_reasons"), F.lit(None).cast("string").alias("dup_basis"), F.when(F.col("doc_id") % 50 == 7, "x").alias("error"))
     row = state.run_audit(extract.decide(docs), as_of=T.as_of())
     stats = F.from_json("stats", "fetched long, prefiltered long, errors long")
     return row.select(F.lit(0).cast("long").alias("n"), "status", stats.alias("s")).select("n", "status", "s.fetched", "s.prefiltered", "s.errors")
@@ -490,30 +466,27 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    q = jobs.run_to_memory(df, name, mode=mode)
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
 @query("SELECT CAST(ts AS date) AS day, count(*) AS n FROM events GROUP BY 1")
 def daily_stream(spark, sf_dir):
-    return _drained(jobs.daily_counts(_stream(spark, sf_dir), time_col="ts"), "daily_stream", "complete")
+    return jobs.drained(jobs.daily_counts(_stream(spark, sf_dir), time_col="ts"), "daily_stream", mode="complete")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedup_stream(spark, sf_dir):
     """Keys seen within a window as long as the table."""
-    return _drained(jobs.suppress_repeats(_stream(spark, sf_dir), keys=["user_id", "event_type"], time_col="ts", within="36500 days").select("user_id", "event_type"), "dedup_stream", "append")
+    return jobs.drained(jobs.suppress_repeats(_stream(spark, sf_dir), keys=["user_id", "event_type"], time_col="ts", within="36500 days").select("user_id", "event_type"), "dedup_stream", mode="append")
 
 
 @query(ORACLE_SQL["source_health"].removeprefix(T.VIEWS))
 def health_stream(spark, sf_dir):
     rows = _stream(spark, sf_dir).selectExpr("user_id AS source_id", "ts", "event_id AS seq", "event_id % 3 = 0 AS ok", "concat('error ', event_type) AS error")
-    return _drained(jobs.source_health(rows), "health_stream", "update")
+    return jobs.drained(jobs.source_health(rows), "health_stream", mode="update", keys=["source_id"])
 
 
 @query("SELECT raw_item_id, count(*) AS attempts, arg_max(permanent, {'t': ts, 's': seq}) OR count(*) >= 3 AS dead, arg_max(reason, {'t': ts, 's': seq}) AS reason FROM tries GROUP BY 1")
 def retry_stream(spark, sf_dir):
     rows = _stream(spark, sf_dir).selectExpr("event_id % 1000 + 1 AS raw_item_id", "ts", "event_id AS seq", "event_type AS reason", "event_id % 11 = 0 AS permanent")
-    return _drained(jobs.retry_counts(rows), "retry_stream", "update")
+    return jobs.drained(jobs.retry_counts(rows), "retry_stream", mode="update", keys=["raw_item_id"])
+
+
+from . import feed_queries  # noqa: E402, F401  registers its own

@@ -59,12 +59,20 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS string) AS channel", "turn AS message_id", "CAST(NULL AS string) AS date", "text", "CAST(NULL AS array<string>) AS entity_urls", "CAST(NULL AS long) AS views", "CAST(NULL AS long) AS forwards")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a URL lent from the pages."""
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt over all cores; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def posts(spark: SparkSession, sf_dir: str, *what) -> DataFrame:
+    """Documents with a URL lent from the pages: their text, or only ``what`` is made of it before the join."""
     pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url")
     n = pages.count()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", (F.col("doc_id") % n).alias("page_id"))
-    return docs.join(pages, "page_id").select("doc_id", "text", "source", "url")
+    docs = spread(table(spark, sf_dir, "documents")) if what else table(spark, sf_dir, "documents")
+    what = what or ("text",)
+    made = docs.select("doc_id", "source", (F.col("doc_id") % n).alias("page_id"), *what)
+    return made.join(pages, "page_id").select("doc_id", *[c for c in made.columns if c not in ("doc_id", "page_id")], "url")
 
 
 VIEWS = """WITH offers AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS raw_item_id, 'Order ' || (o_orderkey % 501) || ' of ' || o_orderpriority AS title, o_orderpriority AS category,

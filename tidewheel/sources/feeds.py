@@ -183,6 +183,11 @@ def repo_payloads(repos: DataFrame, *, as_of: Column, min_stars: int = 50, withi
 def markdown_links(files: DataFrame, *, section_filter: bool = True) -> DataFrame:
     """Links of Markdown files (file, content) with the heading above each: file, line, pos, section, text, url, raw_line."""
     lines = files.select("file", F.posexplode(F.split("content", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")).alias("line", "raw"))
+    return linked_lines(lines, section_filter=section_filter)
+
+
+def linked_lines(lines: DataFrame, *, section_filter: bool = True) -> DataFrame:
+    """``markdown_links`` of files that come line by line (file, line, raw)."""
     found = F.regexp_extract("raw", r"(?U)^#{1,6}\s+(.+)$", 1)
     lines = lines.withColumn("heading", F.nullif(F.lower(strip(found)), F.lit("")))
     w = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
@@ -212,12 +217,13 @@ _LINKS = "array<struct<url:string,link:string,title:string,label:string>>"
 
 
 def bio_payloads(pages: DataFrame, *, platform: str, as_of: Column) -> DataFrame:
-    """Bio pages (handle, idx, html): all deal links of a page's embedded JSON as one payload."""
+    """Bio pages (handle, idx, html: a page with embedded JSON, or an answer with ``blocks``): all deal links of one as one payload."""
     blob = F.regexp_extract("html", r"""(?s)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>([^<]+)</script>""", 1)
     shape = f"struct<props:struct<pageProps:struct<account:struct<links:{_LINKS}>,links:{_LINKS}>>>"
     page = F.from_json(blob, shape)["props"]["pageProps"]
     first, second = page["account"]["links"], page["links"]
-    raw = F.when(F.size(first) > 0, first).otherwise(F.coalesce(second, F.array().cast(_LINKS)))
+    blocks = F.from_json(F.when(F.ltrim("html").startswith("{"), F.col("html")), f"struct<blocks:{_LINKS}>")["blocks"]
+    raw = F.when(F.size(first) > 0, first).otherwise(F.coalesce(second, blocks, F.array().cast(_LINKS)))
     links = F.transform(raw, lambda x: F.struct(_s(_or(x["url"], x["link"])).alias("url"), _s(_or(x["title"], x["label"])).alias("title")))
     ok = lambda x: x["url"].startswith("http") & (~is_noise_url(x["url"]) | S.has_deal_hint(F.concat(x["title"], F.lit(" "), x["url"])))
     df = pages.withColumn("__links", F.filter(links, ok)).filter(F.size("__links") > 0)
