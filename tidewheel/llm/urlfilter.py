@@ -7,7 +7,9 @@ the share of false possible hits, which an exact join removes. URLs that the fil
 out never enter that join.
 
 Defined results: null, or a url without ``://``, has an empty host and path, fits no rule and is
-never listed; repeated rows are judged alike; the list may repeat URLs and hold nulls.
+never listed; repeated rows are judged alike; the list may repeat URLs and hold nulls. An empty
+table gives an empty result, an empty list blocks nothing; very long urls are read whole; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_URL = 16
 #: verdict by host and path prefix
@@ -75,6 +79,7 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id"
         return df.withColumn("canonical_url", canonical(F.col("host"), F.col("path")))
 
     bad = parts(listed.select(F.col(listed_col).cast("string").alias("__url"))).select("canonical_url").filter("canonical_url is not null").distinct()
+    bad = written(bad, "listed")
     blocks = max(1, min(max_blocks, -(-bad.count() * BITS_PER_URL // 256)))
     rows = parts(pages.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url")), F.col("__id"))
     rows = rows.withColumn("rule", rule(F.col("host"), F.col("path"), rules))
