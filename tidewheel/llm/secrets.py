@@ -4,11 +4,12 @@ Built-in functions only. The models (first order, over 64 character classes) are
 labelled samples of bounded size: strings that the fixed rules find in ``sample_docs`` documents
 are random strings, other words of ``word_docs`` documents, shorter than a token to judge, ordinary identifiers. Every whole text is then
 scanned in one pass without a shuffle: long tokens whose mean log-likelihood ratio a
-transition exceeds ``min_ratio`` are added to the spans of the fixed rules.
+transition, as written and in small letters, exceeds ``min_ratio`` are added to the spans of the fixed rules.
 
 Defined results: null text is empty and has no span; without any labelled string the models
 are equal and add nothing; a null id is carried along; repeated rows are scanned alike.
-Positions are code points, ends exclusive.
+Positions are code points, ends exclusive. An empty table gives an empty result; very long texts
+are read whole; columns other than the id, the text and those in ``keep`` are not read.
 """
 
 from __future__ import annotations
@@ -26,17 +27,21 @@ KINDS = {
 }
 #: A run of `[0-9a-f]+` or `AKIA[A-Z0-9]+` is maximal, so these find just the matches that are long enough.
 _QUICK = {"assign": KINDS["assign"], "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+#: What the models judge: tokens of 20 characters or more (shorter ones hold too few transitions to tell).
 CANDIDATE = r"[A-Za-z0-9_+/-]{20,}"
 CLASSES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"
 SIZE = len(CLASSES) + 1  # the last for + / -
+RUN = 128
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,found:string>>"
 
 
 def _matches(text: Column, pattern: str, kind: str, rank: int) -> Column:
-    """Leftmost matches with their positions: what lies between them gives the offsets."""
+    """Leftmost matches with their positions: what lies between them gives the offsets.
+
+    Matches are taken in runs of ``RUN``, so that no array grows match by match over a whole text.
+    """
     between = F.transform(F.split(text, pattern, -1), F.length)
     both = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["gap"]
@@ -44,7 +49,13 @@ def _matches(text: Column, pattern: str, kind: str, rank: int) -> Column:
         span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("found"))
         return F.when(x["found"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def run(all_: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(all_, F.lit(1), i * RUN), F.lit(0), lambda s, x: s + x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0)))
+        start = F.struct(before.alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(F.slice(all_, i * RUN + 1, F.lit(RUN)), start, step, lambda acc: acc["out"])
+
+    runs = F.transform(F.array(both), lambda all_: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: run(all_, i))))
+    return F.when(text.rlike(pattern), runs[0]).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -111,9 +122,11 @@ def model_spans(text: Column, base: Column, ratios: list[float], min_ratio: floa
     table = F.split(F.lit(" ".join(f"{x:.6f}" for x in ratios)), " ").cast("array<double>")  # folded to a constant
     found = _matches(text, CANDIDATE, "markov", len(KINDS))
 
-    def likely(s: Column) -> Column:
-        total = F.aggregate(_pairs(F.array(s["found"])), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
-        return total / (F.length(s["found"]) - 1) > min_ratio
+    def mean(found: Column) -> Column:
+        return F.aggregate(_pairs(F.array(found)), F.lit(0.0), lambda acc, p: acc + F.get(table, p)) / (F.length(found) - 1)
+
+    def likely(s: Column) -> Column:  # a name is as ordinary in capitals as in small letters
+        return F.least(mean(s["found"]), mean(F.lower(s["found"]))) > min_ratio
 
     return F.filter(F.filter(found, likely), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
