@@ -204,7 +204,6 @@ def test_packing(docs):
     from tidewheel.llm.packing import pack_sequences
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     rows = collections.defaultdict(list)
     got = pack_sequences(docs, with_ids=True, buffer=5).collect()
     for r in got:

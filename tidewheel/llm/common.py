@@ -13,16 +13,38 @@ NULL_ID = (1 << 63) - 1
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is configured."""
+    """The cluster's shared folder; in local mode a temporary one is set where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/tidewheel-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    _MADE.append(f"{work_dir(spark)}/tidewheel-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def delete_scratch(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder; results that still read it must be used up."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.clear()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt over all cores; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -15,12 +15,13 @@ Before embedding, windows that cannot match are set aside without loss: a passag
 edits of a piece starts with a benchmark word, holds at most k words that are none, and, as an
 edit touches two word pairs, at most 2 k word pairs that no item has.
 
-The item tables are broadcast in blocks of at most ``block_items`` items (a pass over the
-documents for each), so a broadcast has a fixed bound. Documents are not shuffled.
+The item tables are broadcast in blocks of about ``block_items`` items and ``block_bytes`` bytes of text
+at most (a pass over the documents for each), so a broadcast has a fixed bound. Documents are not shuffled.
 
 Words are runs of letters and digits, A-Z as a-z. Defined results: null texts hold nothing; items
 under ``min_words`` words are too short to tell and match nothing; repeated rows and items match
-each for itself; a null id is carried along.
+each for itself; a null id is carried along. An empty table gives an empty result; very long texts
+are read whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -211,11 +212,12 @@ def _search(shared):
     return run
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 15, min_words: int = 5, repeats: int = 16, coordinates: int = 3, block_items: int = 20_000) -> DataFrame:
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 15, min_words: int = 5, repeats: int = 16, coordinates: int = 3, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document and item that it holds within ``percent`` % word edits: id, item_id, start, length (words), item_words, distance."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
-    blocks = -(-items.count() // block_items)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-n // block_items), -(-size // block_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     if blocks > 1:
         items = written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "items")

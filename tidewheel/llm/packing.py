@@ -10,7 +10,8 @@ stay open. A task's last, part-filled sequence is cut at powers of two, which ne
 
 Each task packs its own rows: no shuffle, memory bounded by the buffer, and a task run
 again gives the same sequences. Defined results: null text is empty and gives the end id
-alone; repeated rows are packed each for itself; a null id is carried along.
+alone; repeated rows are packed each for itself; a null id is carried along; very long texts are
+cut into windows; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations

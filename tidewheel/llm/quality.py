@@ -8,7 +8,8 @@ the deepest LCP interval that holds it: the union of those spans is the union of
 maximal repeated substrings' occurrences.
 
 Defined results: null or wordless text has zero counts, fails the base rule and is not
-kept; repeated rows are judged alike; other columns of the input are not read.
+kept; repeated rows are judged alike; very long texts are read whole; an empty table gives an empty
+result; other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Fitting is on a bounded sample of labelled rows: at most ``sample_docs`` documen
 shuffle; the model (16 bytes a word) is broadcast.
 
 Defined results: null or empty text gets the base score; without labelled rows every score
-is 0; several labels of a document count as the largest; null labels are left out.
+is 0; several labels of a document count as the largest; null labels are left out; repeated rows
+are scored alike. An empty table gives an empty result; very long texts are scored whole (and are
+not fitted on); columns other than id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -141,10 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = sample.mapInArrow(_instances(words), "label int, sentence array<long>, word array<long>").toArrow()
     sample.unpersist()
     label = rows.column("label").to_numpy()
-    size = [len(x) for x in rows.column("sentence").to_pylist()]
+    size = np.concatenate([c.value_lengths().to_numpy() for c in rows.column("sentence").chunks] or [np.zeros(0, np.int64)])
     doc = np.repeat(np.arange(len(label)), size)
-    sent = np.array([s for x in rows.column("sentence").to_pylist() for s in x], np.int64)
-    word = np.array([s for x in rows.column("word").to_pylist() for s in x], np.int64)
+    sent, word = (np.concatenate([c.flatten().to_numpy() for c in rows.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("sentence", "word"))
     _, sent = np.unique(np.column_stack([doc, sent]), axis=0, return_inverse=True)
     weights, bias, base = fit_noisy_or(label, doc, sent.ravel(), word, len(words))
     return words, weights, bias, base

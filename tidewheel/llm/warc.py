@@ -10,7 +10,8 @@ payload of a record that fails a predicate is skipped, not decoded. Option ``pay
 ``verify=true`` checks their digests.
 
 Defined results of the round trip: null html is an empty payload; a null page_id is a response
-and nothing refers to it; repeated rows (same id and payload) are alike.
+and nothing refers to it; repeated rows (same id and payload) are alike. An empty table gives an
+empty result; payloads of any length are stored whole; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def filesystem(path: str):
 
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    path = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)  # names of Hadoop's connectors
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
