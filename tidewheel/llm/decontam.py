@@ -203,7 +203,7 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            for part, data, off in slices(batch, "text", 8 << 20):
+            for part, data, off in slices(batch, "text", 2 << 20):
                 ids = part.column("doc").to_pylist()
                 rows = [(ids[d], items.ids[k], start, length, len(items.words[k]), distance) for d, k, start, length, distance in items.search(words_of(data, off))]
                 if rows:

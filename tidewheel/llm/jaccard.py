@@ -46,7 +46,7 @@ SHINGLE = 5
 BITS = 512
 BLOCK_ROWS = 8192
 BLOCK_BYTES = 32 << 20
-FLUSH = 2_000_000
+FLUSH = 500_000
 MANY = 16
 RATIO = 1.6
 _U = np.uint64

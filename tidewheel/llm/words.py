@@ -137,7 +137,7 @@ def grams(w: Words, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return pos, mix((total[pos + n] - total[pos]) * powers(inverse(base), m)[pos])
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in slices of whole rows with about ``limit`` bytes of text (one row at least)."""
     data, off = flat(batch.column(text))
     at, n = 0, batch.num_rows
