@@ -232,7 +232,7 @@ def batch_replies(spark, sf_dir):
 def _verdicts(spark, sf_dir):
     k = F.col("o_orderkey")
     reply = F.struct(F.lit(True).alias("is_offer"), F.concat(F.lit("Order number "), k.cast("string")).alias("title"), F.concat(F.lit("https://a.example/"), k.cast("string")).alias("url"), F.when(k % 2 == 0, "cloud").otherwise("x").alias("category"), F.col("o_totalprice").alias("value"), F.lit("usd").alias("currency"), F.when(k % 9 == 0, 2.0).otherwise(0.5).alias("confidence"))
-    rows = T.table(spark, sf_dir, "orders").select(k.alias("raw_item_id"), F.to_json(reply).alias("reply"), F.lit(None).cast("string").alias("original_url"), F.concat(F.lit("https://c.example/"), (k % 1000).cast("string")).alias("canonical_url"), F.when(k % 3 == 0, "live").otherwise("unreachable").alias("liveness"), F.lit(200).alias("http_status"), F.lit("h").alias("author_handle"), F.lit("{}").alias("engagement"))
+    rows = T.spread(T.table(spark, sf_dir, "orders")).select(k.alias("raw_item_id"), F.to_json(reply).alias("reply"), F.lit(None).cast("string").alias("original_url"), F.concat(F.lit("https://c.example/"), (k % 1000).cast("string")).alias("canonical_url"), F.when(k % 3 == 0, "live").otherwise("unreachable").alias("liveness"), F.lit(200).alias("http_status"), F.lit("h").alias("author_handle"), F.lit("{}").alias("engagement"))
     return O.validate_offers(rows, "reply")
 
 
