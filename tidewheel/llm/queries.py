@@ -155,9 +155,21 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+#: Base32 of a SHA-1: five hex digits are four characters.
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS response FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::INTEGER >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op3_ngram_jaccard_join": OP3_SQL,
     "op4_url_filters": OP4_SQL,
+    "op7_warc": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
