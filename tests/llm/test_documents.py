@@ -321,13 +321,13 @@ def test_language(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    from tidewheel.llm.langid import CLASSES, Model, keys
+    from tidewheel.llm.langid import BITS, CLASSES, Model, keys
 
     k, _ = keys(["the cat sat on the mat and the dog sat too", "a cat and a dog"])
     u, n = np.unique(k, return_counts=True)
     tables = Model.fit(u, n)
-    for context in [*np.unique(u >> 6)[:10].tolist(), 5 << 12 | 9 << 6 | 60]:
-        x = (context << 6) + np.arange(CLASSES)
+    for context in [*np.unique(u >> BITS)[:10].tolist(), 5 << 2 * BITS | 9 << BITS | 60]:
+        x = (context << BITS) + np.arange(CLASSES)
         assert abs(Model.probability(tables, x.astype(np.int64), 4).sum() - 1) < 1e-9
 
 
@@ -343,13 +343,15 @@ def test_language_models_keep_all_grams_and_languages(spark):
         stem = "".join(chr(97 + x) for x in rng.integers(0, 26, 9))
         rows += [(1000 + 10 * i + j, f"{stem} " * (3 if i else 2), lang) for j in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
-    model = model_files(docs.select("lang", "text").mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    model = model_files(docs.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     assert model.langs == ["big", *made]
     k, n = np.unique(keys(texts)[0], return_counts=True)
     assert len(k) > 200_000
-    for got, want in zip(model.tables(0), Model.fit(k, n), strict=True):
-        for a, b in zip(got, want, strict=True):
-            assert len(a) == len(b) and np.allclose(a, b, rtol=1e-12)
+    for pieces, ((key, p, context, back),) in zip(model.tables(0), Model.fit(k, n), strict=True):
+        assert np.array_equal(np.concatenate([x[0] for x in pieces]), key)
+        assert np.allclose(np.concatenate([x[1] for x in pieces]), p, rtol=1e-12)
+        assert np.allclose(Model.find(pieces, context, 2, 3), back, rtol=1e-12)
+        assert np.isnan(Model.find(pieces, np.array([-1, key[-1] + 1]), 0, 1)).all()
     assert {r.lang_pred for r in identify_languages(docs).collect()} == {"big", *made}
 
 

@@ -201,3 +201,25 @@ def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
         docs = stage(spark, docs, f"{tmp_path}/none")
         assert docs.columns == ["doc_id", "text", "doc", "th", "cls", "base", "row", "component_id"] and docs.count() == 1
     assert corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/none").select("doc_id").distinct().count() == 1
+
+
+def test_letters_have_symbols_of_their_own():
+    from tidewheel.llm.langid import ASTRAL, CLASSES, classes
+
+    apart = "abcdefghijklmnopqrstuvwxyzßàéñøžæ" + "абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ" + "αβγδεζηθικλμνξοπρστυφχψω" + "אבגדהוזחטיכלמנ" + "ابتثجحخدذرز" + "กขคงจฉ" + "あいうえおカキク"
+    c, _ = classes([apart])
+    assert len(np.unique(c[3:])) == len(apart) and c[3:].min() > 0 and c.max() < ASTRAL
+    assert np.array_equal(classes(["ÉЖΩ"])[0], classes(["éжω"])[0])
+    c, _ = classes(["\U00020000\U0002a6d6\U00010400가각개"])
+    assert (c[3:6] >= ASTRAL).all() and c.max() < CLASSES and len(np.unique(c[3:6])) == 3 and c[6] == c[7] != c[8]
+
+
+def test_languages_of_one_foreign_script(spark):
+    """Two languages that share most letters of another script."""
+    from tidewheel.llm.langid import identify_languages
+
+    rng = np.random.default_rng(5)
+    words = {"ru": "привет мир это был хороший день когда мы ещё были молодыми и ничего не знали".split(), "uk": "привіт світ це був гарний день коли ми ще були молодими і нічого не знали".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 15)), lang, "s", 1) for i, lang in ((i, ["ru", "uk"][i % 2]) for i in range(200))]
+    got = identify_languages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sum(r.held_out for r in got) > 20 and all(r.lang_pred == ["ru", "uk"][r.doc_id % 2] for r in got)
