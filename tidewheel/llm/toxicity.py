@@ -6,12 +6,14 @@ without a known word add nothing, which keeps long clean texts low.
 
 Fitting is on a bounded sample of labelled rows: at most ``sample_docs`` documents of at most
 ``sample_chars`` characters (parameters), by a hash of the id; words of the model are the
-``max_words`` with the most telling document counts. Scoring covers every whole text, without a
+``max_words`` with the most telling document counts, of those in ``min_docs`` documents or more whose
+count of toxic ones is ``min_telling`` standard deviations or more from the share of all (other words
+would take over the weight in small samples). Scoring covers every whole text, without a
 shuffle; the model (16 bytes a word) is broadcast.
 
 Defined results: null or empty text gets the base score; without labelled rows every score
-is 0; several labels of a document count as the largest; null labels are left out; repeated rows
-are scored alike. An empty table gives an empty result; very long texts are scored whole (and are
+is 0, without a telling word it is the base score; several labels of a document count as the
+largest; null labels are left out; repeated rows are scored alike. An empty table gives an empty result; very long texts are scored whole (and are
 not fitted on); columns other than id, text and label are not read.
 """
 
@@ -44,6 +46,7 @@ def _sentences(w: Words) -> np.ndarray:
 
 
 PREFIXES = (6, 7, 8)
+MIN_TELLING = 2.5
 
 
 def _units(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def fit_noisy_or(label: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word:
     return theta[:n_words], float(theta[n_words]), float(1 / (1 + np.exp(-theta[n_words + 1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int, sample_chars: int, max_words: int, min_docs: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int, sample_chars: int, max_words: int, min_docs: int, min_telling: float = MIN_TELLING) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Word hashes (sorted), weights, bias and base probability."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
     marked = marked.filter(F.crc32(F.col("id").cast("string")) % 3 != 1).groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         return np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0
     share = n_bad / n_docs
     telling = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
-    top = counts.filter(F.col("n") >= min_docs).orderBy(telling.desc(), "word").limit(max_words).select("word").collect()
+    top = counts.filter(F.col("n") >= min_docs).filter(telling >= min_telling).orderBy(telling.desc(), "word").limit(max_words).select("word").collect()
     words = np.sort(np.array([r[0] for r in top], np.int64))
     rows = sample.mapInArrow(_instances(words), "label int, sentence array<long>, word array<long>").toArrow()
     sample.unpersist()
@@ -183,12 +186,12 @@ def _score(shared):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 8000, sample_chars: int = 20_000, max_words: int = 4096, min_docs: int = 4, threshold: float = 0.7) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 8000, sample_chars: int = 20_000, max_words: int = 4096, min_docs: int = 3, min_telling: float = MIN_TELLING, threshold: float = 0.7) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, and the sentences that score 0.5 or more (code points, end exclusive).
 
     Labels of documents whose crc32(id) mod 3 is 1 are never read.
     """
-    model = fit(docs, labels, id_col, text_col, label_col, sample_docs, sample_chars, max_words, min_docs)
+    model = fit(docs, labels, id_col, text_col, label_col, sample_docs, sample_chars, max_words, min_docs, min_telling)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     done = rows.mapInArrow(_score(shared), "id long, score double, sentences array<struct<start:long,end:long,score:double>>")
