@@ -101,7 +101,18 @@ def classify_signals(spark, sf_dir):
     return docs.select("doc_id", S.classify_signal(t, low).alias("signal"), S.has_deal_hint(t, low).alias("hint"), S.promo_code_present(t, low).alias("promo"))
 
 
-@query()
+_WHITE = r"\s\x0B\x{85}\p{Z}"
+_TITLE_SQL = (
+    rf"""SELECT doc_id, {_STRIP.format(r"left(CASE WHEN regexp_matches(t, '^\p{Ll}') THEN upper(left(t, 1)) || substr(t, 2) ELSE t END, 200)")} AS title FROM (
+SELECT doc_id, {_STRIP.format("regexp_replace(CASE WHEN letters >= 8 AND capitals / letters > 0.7 THEN lower(t) ELSE t END, '[WHITE]+', ' ', 'g')")} AS t FROM (
+SELECT *, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS letters, length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS capitals FROM (
+SELECT doc_id, array_to_string(list_filter(c, lambda x, i: NOT (i > 1 AND x = c[i - 1] AND regexp_matches(x, '[{V.EMOJI}!?]'))), '') AS t FROM (
+SELECT doc_id, regexp_extract_all(regexp_replace(t, '^[WHITE{V.EMOJI}|•·—–\-:\[(\p{{Nd}}.)]+', ''), '(?s).') AS c FROM (
+SELECT doc_id, {_STRIP.format("split_part(coalesce(text, ''), chr(10), 1)")} AS t FROM documents)))))"""
+).replace("WHITE", _WHITE)
+
+
+@query(_TITLE_SQL)
 def normalized_titles(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", X.normalize_title(F.split("text", "\n")[0]).alias("title"))
 
