@@ -87,6 +87,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(vectors, anchor=F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants, variant_words
+
+    return group_variants(variant_words(_table(spark, sf_dir, "documents")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_round_trip
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_files": op13_token_files,
 }
 
@@ -198,6 +205,28 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTI
 SELECT * FROM n WHERE rank <= 10
 """
 
+#: The crc32 goes by a table of 256 values; neighbours share a word less one character.
+OP12_SQL = r"""
+WITH RECURSIVE t(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM t WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (
+           SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+            lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [CAST(192 + (ord(ch) >> 6) AS BIGINT), 128 + (ord(ch) & 63)] END)) AS bytes FROM runs),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda crc, b: xor(crc >> 8, tab[1 + (xor(crc, b) & 255)])), 4294967295) AS h FROM coded, tab),
+variants AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM variants WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS d FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (SELECT l.word AS a, w.word AS b, w.n FROM less l JOIN words w ON l.d = w.word
+         UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON l.d = w.word
+         UNION SELECT l.word, r.word, r.n FROM less l JOIN less r ON l.d = r.d AND l.i = r.i AND l.word <> r.word),
+best AS (SELECT *, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM near),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * w.n THEN b END AS form, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n
+          FROM words w LEFT JOIN best ON a = w.word AND k = 1),
+way AS (SELECT word, word AS last FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON way.last = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.*, last AS root FROM forms JOIN way USING (word) WHERE NOT EXISTS (SELECT 1 FROM forms f WHERE f.word = way.last AND f.form IS NOT NULL)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op3_ngram_jaccard_join": OP3_SQL,
@@ -205,4 +234,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
