@@ -313,7 +313,9 @@ class TokenReader(DataSourceReader):
             ok &= ~r.nulls & {"in": lambda: np.isin(r.docs, v), "gt": lambda: r.docs > v, "ge": lambda: r.docs >= v, "lt": lambda: r.docs < v, "le": lambda: r.docs <= v}[kind]()
         return np.flatnonzero(ok)
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file is left
+            return
         fs, path = filesystem(partition.path)
         with fs.open_input_file(path) as f:
             r = FrameReader(f, f.size())
