@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -196,13 +197,54 @@ def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
         spark.createDataFrame(rows, names).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ({1} if case == "some" else set())
-    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(80)), 1, 2, 3, 4, 5, 6)], "doc_id long, text string, doc long, th long, cls long, base long, row long, component_id long")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    names = ["doc_id", "text", "doc", "th", "cls", "base", "row", "component_id", "__row", "id", "all_spans", "n", "first", "groups", "item", "hash", "a.b"]
+    one = (1, " ".join(f"w{i}" for i in range(80)), *[f"keep {c}" for c in names[2:]])
+    two = (2, one[1] + " end", *one[2:])
+    docs = spark.createDataFrame([one, two], names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, f"{tmp_path}/none")
-        assert docs.columns == ["doc_id", "text", "doc", "th", "cls", "base", "row", "component_id"] and docs.count() == 1
+        assert docs.columns == names and sorted(map(tuple, docs.collect())) == ([one, two] if name == "quality_rules" else [one])
     assert corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/none").select("doc_id").distinct().count() == 1
 
 
+def test_null_and_equal_rows_cost_no_more(spark):
+    """Near duplicates and repeated windows, against plain Python, on rows without ids and on equal rows, in about the time of rows with ids."""
+    from tidewheel.llm.jaccard import near_duplicate_components
+    from tidewheel.llm.substring import remove_repeated_windows
+
+    rng = np.random.default_rng(1)
+    vocab = np.array([f"w{i}" for i in range(3000)])
+    texts = []
+    for _ in range(700):
+        w = rng.choice(vocab, 60)
+        texts += [" ".join(w), " ".join([*w[:59], "last"])]  # 40 of its 41 windows are copies
+    rows = [(i, t) for i, t in enumerate(texts)]
+    same = texts[0]
+
+    def run(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        began = time.time()
+        near = near_duplicate_components(docs).collect()
+        took = time.time() - began
+        began = time.time()
+        clean = remove_repeated_windows(docs).collect()
+        return near, clean, took, time.time() - began
+
+    run(rows[:50])  # start-up
+    near, clean, a, b = run(rows)
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 and r.n_shingles == 56 for r in near)
+    assert sum(r.n_removed for r in clean) == 700 * 59
+    near, clean, c, d = run([(None, t) for t in texts])
+    assert len(near) == 1400 and all(r.component_id is None and r.n_shingles == 56 for r in near)
+    assert sum(r.n_removed for r in clean) == 700 * 59
+    assert c < 3 * a + 5 and d < 3 * b + 5
+    for i in (None, 7):
+        near, clean, c, d = run([(i, same)] * 1400)
+        assert len(near) == 1400 and {(r.doc_id, r.component_id, r.n_shingles) for r in near} == {(i, i, 56)}
+        assert {(r.doc_id, r.n_words, r.n_removed) for r in clean} == {(i, 60, 0)}
+        assert c < 3 * a + 5 and d < 3 * b + 5
+
+
 def test_letters_have_symbols_of_their_own():
     from tidewheel.llm.langid import ASTRAL, CLASSES, classes
 

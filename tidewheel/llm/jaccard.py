@@ -140,7 +140,7 @@ def _joined_bands(n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield docs[below], own[below] - 1
 
 
-SETS = "doc long, cls long, n long, own int, spare0 int, spare1 int, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
+SETS = "doc long, th long, cls long, n long, own int, spare0 int, spare1 int, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spare[i, docs] = parities(h, at, n, docs, band)[2]
                 if i == 0:
                     own[docs] = band
-            cols = [part.column("doc"), pa.array(cls, mask=n == 0), pa.array(n), pa.array(own), pa.array(spare[0]), pa.array(spare[1])] + [pa.array(words[:, i]) for i in range(BITS // 64)]
+            cols = [part.column("doc"), part.column("th"), pa.array(cls, mask=n == 0), pa.array(n), pa.array(own), pa.array(spare[0]), pa.array(spare[1])] + [pa.array(words[:, i]) for i in range(BITS // 64)]
             yield pa.record_batch(cols, [x.split()[0] for x in SETS.split(", ")])
 
 
@@ -428,11 +428,11 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     percent = 80  # the bands' bounds are for this value
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(id_or_last(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(id_or_last(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     sets = written(rows.mapInArrow(_sets, SETS), "sets")
     bits = [f"s{i}" for i in range(BITS // 64)]
-    per_class = sets.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), *[F.first(c).alias(c) for c in ("n", "own", "spare0", "spare1", *bits)])
-    per_class = written(per_class, "classes")
+    per_class = sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "th")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "own", "spare0", "spare1", *bits)])
+    per_class = written(per_class.select("cls", F.col("rep.doc").alias("rep"), F.col("rep.th").alias("rep_th"), "n", "own", "spare0", "spare1", *bits), "classes")
 
     keys = rows.select("text").mapInArrow(_keys, "key long, cls long, many boolean")
     dealt = keys.repartition(parts, "key", F.when(F.col("many"), F.col("cls"))).sortWithinPartitions("key")
@@ -455,9 +455,9 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     far = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in bits[1:]), F.bit_count(F.col(f"{bits[0]}a").bitwiseXOR(F.col(f"{bits[0]}b"))))
     near = star.join(sketches("a"), "a").join(sketches("b"), "b").filter(far <= F.floor((F.col("na") + F.col("nb")) / 9)).select("a", "b")
 
-    wanted = kept.select("cls").distinct().join(per_class.select("cls", "own", F.col("rep").alias("doc")), "cls")
-    found = rows.join(wanted.hint("shuffle_hash"), "doc").select("cls", "own", "text")
-    # a null or repeated id may bring other texts along: the class tells
+    wanted = kept.select("cls").distinct().join(per_class.select("cls", "own", F.col("rep").alias("doc"), F.col("rep_th").alias("th")), "cls")
+    # null and repeated ids are told apart by their texts' hashes
+    found = rows.join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("cls", "own", "text")
     tokens = found.mapInArrow(_exact_sets, "cls long, tokens binary, sketch binary").dropDuplicates(["cls"])
     tokens = written(tokens, "tokens")
 

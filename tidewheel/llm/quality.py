@@ -177,4 +177,6 @@ def _kept(text: str, min_repeat: int, max_percent: int, max_longest: int):
 
 def keep_quality(docs: DataFrame, *, text_col: str = "text", min_repeat: int = 10, max_percent: int = 30, max_longest: int = 100) -> DataFrame:
     """The input rows that ``quality_rules`` keeps, with all their columns and without a shuffle."""
-    return docs.mapInArrow(_kept(text_col, min_repeat, max_percent, max_longest), docs.schema)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any names will do
+    text = rows.columns[docs.columns.index(text_col)]
+    return rows.mapInArrow(_kept(text, min_repeat, max_percent, max_longest), rows.schema).toDF(*docs.columns)

@@ -278,7 +278,8 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
     found = rows.mapInArrow(_candidates(shared, window, gram), CANDIDATES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = found.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_later, "doc long, th long, pos long, run int")
-    marks = marks.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "run")).alias("marks"))
+    # rows equal in id and text have equal marks: one of each
+    marks = marks.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "run")).alias("marks"))
     joined = rows.join(marks, ["doc", "th"], "left").select("doc", "text", "marks")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     done = joined.mapInArrow(_clean(window, with_text), schema)
