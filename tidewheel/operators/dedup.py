@@ -1,22 +1,27 @@
 """Duplicate gates: URL, title within a category and a time window, vectors; and the greedy resolution over all three.
 
 An item is a duplicate only of an accepted one, so the result is the lexicographically first
-maximal independent set in position order. It is found in rounds of key minima: an item that is
-first by every key and has no open earlier neighbour is accepted; what shares a key or an
-edge with an accepted earlier item is a duplicate; until nothing is open.
+maximal independent set in position order. Items that no chain of shared keys or near vectors joins
+do not depend on each other: connected components are found first, each one of bounded size is resolved in
+order by one task, and only larger ones go in rounds of key minima over their open rows. Equal vectors are a
+key like a URL; nearness is a relation of distinct vectors, so copies never make pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.offers import sha256_hex
+from .components import connected_components
 from .state import written
+from .vectors import near_classes, semantic_pairs, vector_classes
+
+__all__ = ["dedup", "greedy", "recent", "semantic_pairs", "title_gate", "url_gate"]
 
 
 def recent(offers: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
@@ -37,107 +42,111 @@ def title_gate(candidates: DataFrame, fingerprints: DataFrame, offers: DataFrame
     return own.join(known, ["title_hash", "category"]).select("id", "existing_offer_id")
 
 
-PAIRS = "a long, b long, similarity double"
-
-
-def _block_pairs(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-            v = np.array(t.column("v").to_pylist(), np.float32)
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            for start in range(0, len(left), 512):
-                i = left[start : start + 512]
-                sim = v[i] @ v[right].T
-                p, q = np.nonzero(sim >= threshold - 1e-4)  # single precision proposes, double decides
-                a, b = ids[i[p]], ids[right[q]]
-                exact = np.einsum("ij,ij->i", v[i[p]].astype(np.float64), v[right[q]].astype(np.float64))
-                ok = (a < b if side[0] == 2 else a != b) & (exact >= threshold)
-                lo, hi = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
-                yield pa.record_batch([pa.array(lo), pa.array(hi), pa.array(exact[ok])], ["a", "b", "similarity"])
-
-        for batch in batches:
-            key = np.column_stack([batch.column("i").to_numpy(), batch.column("j").to_numpy()])
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for x, y in zip(cut[:-1], cut[1:]):
-                if x == y:
-                    continue
-                if at is not None and tuple(key[x]) != at:
-                    yield from out()
-                    held.clear()
-                at = tuple(key[x])
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from out()
-
-    return run
-
-
-def semantic_pairs(vectors: DataFrame, *, threshold: float = 0.92, block_rows: int = 2000, dims: int = 256) -> DataFrame:
-    """All pairs (a < b) of (id, embedding) with cosine at or above the threshold, exactly.
-
-    Unit vectors in blocks of about ``block_rows``: a block meets each other one in a task of its own
-    (a matrix product), so memory is bounded and no row-by-row product is made. The number of
-    block pairs grows with the square of the table; for very many vectors narrow the window first.
-    """
-    v = F.slice("embedding", 1, dims)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.filter(F.size("embedding") > 0).select("id", v.alias("v"), norm.alias("norm")).filter("norm > 0").select("id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("v"))
-    blocks = max(1, -(-vectors.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = unit.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    side = F.when(F.col("own") == F.col("to"), 2).when(F.col("own") < F.col("to"), 0).otherwise(1)
-    rows = spread.select("id", "v", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), side.alias("side"))
-    # vectors of unequal length never match: the few lengths there are go apart
-    rows = rows.withColumn("j", F.col("j") + F.size("v") * F.lit(blocks))
-    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j")
-    return dealt.mapInArrow(_block_pairs(threshold), PAIRS)
-
-
-def greedy(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates (id, position, url_key, title_key; keys may be null) and edges (a, b) of positions -> position, accepted, basis, blame.
-
-    ``blame`` is the accepted position that makes a row a duplicate. Positions below 0 are known
-    rows: accepted from the start. Each round is written to the shared folder; a round settles the
-    first open row at least, and a chain of dependent rows takes a round a link.
-    """
-    state = written(candidates.select("id", "position", "url_key", "title_key", (F.col("position") < 0).alias("accepted"), F.lit(None).cast("string").alias("basis"), F.lit(None).cast("long").alias("blame"), (F.col("position") < 0).alias("closed")), "greedy")
-    near = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("b < a").distinct(), "edges")
-    left = state.filter("not closed").count()
-    while left:
-        alive = state.filter("accepted or not closed")
+KEYS = ("url_key", "title_key", "vec")
+RESOLVED = "id long, position long, accepted boolean, basis string, blame long"
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The gates, row by row in order of position, within each component; rows come sorted by component."""
+    label, taken, near = None, {}, {}
+    for batch in batches:
+        out = []
+        for row in batch.select(["label", "id", "position", "url_key", "title_key", "vec", "near"]).to_pylist():
+            if row["label"] != label:
+                label, taken, near = row["label"], {k: {} for k in KEYS}, {}
+            position, vec = row["position"], row["vec"]
+            if row["near"]:
+                near[vec] = row["near"]
+            url, title = (taken[k].get(row[k]) for k in KEYS[:2])
+            semantic = min((taken["vec"][c] for c in (vec, *near.get(vec, ())) if c in taken["vec"]), default=None) if vec is not None else None
+            basis = None if position < 0 else "url" if url is not None else "title" if title is not None else "semantic" if semantic is not None else None
+            if basis is None:
+                for k in KEYS:
+                    if row[k] is not None:
+                        taken[k].setdefault(row[k], position)
+            out.append((row["id"], position, basis is None, basis, {"url": url, "title": title, "semantic": semantic}.get(basis)))
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()))], [c.split()[0] for c in RESOLVED.split(", ")]) if out else pa.record_batch([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64())], [c.split()[0] for c in RESOLVED.split(", ")])
+
+
+def _in_rounds(rows: DataFrame, near: DataFrame) -> list[DataFrame]:
+    """The same for components of any size: who is first by all keys and has no open earlier neighbour is accepted, who shares a key
+    with an accepted earlier row is a duplicate, until none is open. Closed rows are not written again."""
+    state = rows.select("id", "position", *KEYS)
+    taken = written(state.filter("position < 0").withColumn("accepted", F.lit(True)), "taken")
+    left = written(state.filter("position >= 0"), "open")
+    near = written(near.unionAll(rows.filter("vec is not null").select(F.col("vec").alias("a"), F.col("vec").alias("b"))).distinct(), "near")
+    done = [taken.select("id", "position", "accepted", F.lit(None).cast("string").alias("basis"), F.lit(None).cast("long").alias("blame"))]
+    open_rows = left.count()
+    while open_rows:
+        alive = taken.unionAll(left.withColumn("accepted", F.lit(False)))
 
         def first(key: str) -> DataFrame:
             return alive.filter(f"{key} is not null").groupBy(key).agg(F.min_by(F.struct("position", "accepted"), "position").alias(f"{key}_first"))
 
-        other = alive.select(F.col("position").alias("b"), F.col("accepted").alias("b_accepted"))
-        edge = near.join(other, "b").groupBy(F.col("a").alias("position")).agg(F.min(F.when(F.col("b_accepted"), F.col("b"))).alias("edge_accepted"), F.count_if(~F.col("b_accepted")).alias("edge_open"))
-        now = state.filter("not closed").join(first("url_key"), "url_key", "left").join(first("title_key"), "title_key", "left").join(edge, "position", "left")
+        by_class = alive.filter("vec is not null").groupBy(F.col("vec").alias("b")).agg(F.min(F.when(F.col("accepted"), F.col("position"))).alias("t"), F.min(F.when(~F.col("accepted"), F.col("position"))).alias("o"))
+        edge = near.join(by_class, "b").groupBy(F.col("a").alias("vec")).agg(F.min("t").alias("near_taken"), F.min("o").alias("near_open"))
+        now = left.join(first("url_key"), "url_key", "left").join(first("title_key"), "title_key", "left").join(edge, "vec", "left")
+        position = F.col("position")
 
         def hit(key: str) -> Column:
             f = F.col(f"{key}_first")
-            return F.when(f["accepted"] & (f["position"] < F.col("position")), f["position"])
+            return F.when(f["accepted"] & (f["position"] < position), f["position"])
 
         def lead(key: str) -> Column:
-            return F.col(key).isNull() | (F.col(f"{key}_first")["position"] == F.col("position"))
+            return F.col(key).isNull() | (F.col(f"{key}_first")["position"] == position)
 
+        near_hit, waits = F.when(F.col("near_taken") < position, F.col("near_taken")), F.coalesce(F.col("near_open") < position, F.lit(False))
         # an accepted row of the key may hide behind an earlier open one: such rows wait
-        basis = F.when(hit("url_key").isNotNull(), "url").when(hit("title_key").isNotNull(), "title").when(F.col("edge_accepted").isNotNull(), "semantic")
-        settled = F.coalesce(hit("url_key").isNotNull() | lead("url_key"), F.lit(False)) & F.coalesce(hit("title_key").isNotNull() | lead("title_key"), F.lit(False)) & (F.coalesce("edge_open", F.lit(0)) == 0)
-        early = hit("url_key").isNotNull()
-        accept = F.coalesce(lead("url_key") & lead("title_key"), F.lit(False)) & basis.isNull() & (F.coalesce("edge_open", F.lit(0)) == 0)
-        dup = basis.isNotNull() & (early | settled)
-        step = now.select("position", accept.alias("n_accepted"), F.when(dup, basis).alias("n_basis"), F.when(dup, F.coalesce(hit("url_key"), hit("title_key"), F.col("edge_accepted"))).alias("n_blame"), (accept | dup).alias("n_closed"))
-        merged = state.join(step, "position", "left").select("id", "position", "url_key", "title_key", F.coalesce("n_accepted", "accepted").alias("accepted"), F.coalesce("n_basis", "basis").alias("basis"), F.coalesce("n_blame", "blame").alias("blame"), F.coalesce("n_closed", "closed").alias("closed"))
-        state = written(merged, "greedy")
-        before, left = left, state.filter("not closed").count()
-        if left >= before:
-            raise RuntimeError(f"a round of the greedy resolution settled none of {left} open rows")
-    return state.filter("position >= 0").drop("closed")
+        basis = F.when(hit("url_key").isNotNull(), "url").when(hit("title_key").isNotNull(), "title").when(near_hit.isNotNull(), "semantic")
+        settled = F.coalesce(hit("url_key").isNotNull() | lead("url_key"), F.lit(False)) & F.coalesce(hit("title_key").isNotNull() | lead("title_key"), F.lit(False)) & ~waits
+        accept = F.coalesce(lead("url_key") & lead("title_key"), F.lit(False)) & basis.isNull() & ~waits
+        dup = basis.isNotNull() & (hit("url_key").isNotNull() | settled)
+        step = written(now.select("id", "position", *KEYS, accept.alias("accepted"), F.when(dup, basis).alias("basis"), F.when(dup, F.coalesce(hit("url_key"), hit("title_key"), near_hit)).alias("blame"), (accept | dup).alias("closed")), "greedy")
+        done.append(step.filter("closed").select("id", "position", "accepted", "basis", "blame"))
+        taken = taken.unionAll(step.filter("accepted").select(*taken.columns))
+        left = step.filter("not closed").select("id", "position", *KEYS)
+        before, open_rows = open_rows, left.count()
+        if open_rows >= before:
+            raise RuntimeError(f"a round of the greedy resolution settled none of {open_rows} open rows")
+    return done
+
+
+def greedy(candidates: DataFrame, edges: DataFrame, *, in_one_task: int = 100_000) -> DataFrame:
+    """Candidates (id, position, url_key, title_key, and vec: the class of its vector, or its own position without that column; keys may be null)
+    and edges (a, b) of classes -> id, position, accepted, basis, blame: the accepted position that makes a row a duplicate.
+
+    A class is named by the position of one of its rows. Positions below 0 are known rows: accepted from the start, not returned.
+    Components of at most ``in_one_task`` rows are resolved in one task each.
+    """
+    if "vec" not in candidates.columns:
+        candidates = candidates.withColumn("vec", F.col("position"))
+    rows = written(candidates.select("id", "position", *KEYS), "candidates")
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "near-classes")
+
+    def star(key: str) -> DataFrame:
+        """Each row of a key by its first row."""
+        keyed = rows.filter(f"{key} is not null").select(key, "position")
+        return keyed.join(keyed.groupBy(key).agg(F.min("position").alias("a"), F.count("*").alias("n")).filter("n > 1"), key).select("a", F.col("position").alias("b"))
+
+    stars = reduce(DataFrame.unionAll, [star(k) for k in KEYS])
+    heads = rows.filter("vec is not null").groupBy("vec").agg(F.min("position").alias("head"))
+    joined = edges.join(heads.withColumnsRenamed({"vec": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"vec": "b", "head": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = connected_components(stars.unionAll(joined)).withColumnRenamed("node", "position")
+    marked = written(rows.join(labels, "position", "left"), "components")
+    sizes = marked.filter("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    grouped = written(marked.join(sizes, "label", "left"), "sized")
+    alone = grouped.filter("label is null").select("id", "position", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("basis"), F.lit(None).cast("long").alias("blame"))
+    small = grouped.filter(F.col("n") <= in_one_task)
+    # a class' neighbours go with the first of its rows
+    around = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("vec")).agg(F.collect_list("b").alias("near"))
+    around = around.join(heads, "vec").select(F.col("head").alias("position"), "near")
+    dealt = small.join(around, "position", "left").repartition("label").sortWithinPartitions("label", "position")
+    parts = [alone, dealt.mapInArrow(_in_order, RESOLVED)]
+    large = grouped.filter(F.col("n") > in_one_task)
+    if not large.isEmpty():
+        own = large.select("vec").distinct()
+        parts += _in_rounds(large, edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(own.withColumnRenamed("vec", "a"), "a", "left_semi"))
+    return reduce(DataFrame.unionAll, parts).filter("position >= 0")
 
 
 def dedup(candidates: DataFrame, fingerprints: DataFrame, offers: DataFrame, *, as_of: Column, days: int = 90, threshold: float = 0.92) -> DataFrame:
@@ -153,12 +162,18 @@ def dedup(candidates: DataFrame, fingerprints: DataFrame, offers: DataFrame, *,
     titled = "coalesce(title, '') <> '' and coalesce(category, '') <> ''"
     fresh = candidates.select("id", F.col("position").cast("long").alias("position"), sha256_hex(F.col("canonical_url")).alias("url_key"), F.when(F.expr(titled), F.concat_ws(":", sha256_hex(F.lower("title")), F.col("category"))).alias("title_key"), "embedding")
     rows = written(known.union(fresh), "dedup")
-    pairs = written(semantic_pairs(rows.select(F.col("position").alias("id"), "embedding"), threshold=threshold), "pairs")
-    done = written(greedy(rows.drop("embedding"), pairs), "resolved")
-    # of several accepted neighbours the nearest is named
-    both = pairs.select(F.col("b").alias("position"), F.col("a").alias("blame"), "similarity").union(pairs.select(F.col("a").alias("position"), F.col("b").alias("blame"), "similarity"))
-    kept = done.filter("accepted").select(F.col("position").alias("blame")).union(known.select(F.col("position").alias("blame"))).distinct()
-    near = both.filter("blame < position").join(kept, "blame").groupBy("position").agg(F.max_by(F.struct(F.col("blame").alias("by"), "similarity"), F.struct("similarity", -F.col("blame"))).alias("near"))
+    reps, members = vector_classes(rows.select(F.col("position").alias("id"), "embedding"))
+    members = written(members.select(F.col("id").alias("position"), F.col("rep").alias("vec")), "members")
+    pairs = written(near_classes(reps, threshold=threshold), "pairs")
+    keyed = rows.drop("embedding").join(members, "position", "left")
+    done = written(greedy(keyed, pairs.select("a", "b")), "resolved")
+    # of several accepted neighbours the nearest is named; of a class the first accepted one
+    kept = done.filter("accepted").select("position").union(known.select("position"))
+    first = kept.join(members, "position").groupBy("vec").agg(F.min("position").alias("by"))
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionAll(reps.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    close = both.join(first.withColumnRenamed("vec", "b"), "b").select(F.col("a").alias("vec"), "by", "similarity")
+    wanted = done.filter("basis = 'semantic'").select("position").join(members, "position")
+    near = wanted.join(close, "vec").filter("by < position").groupBy("position").agg(F.max_by(F.struct("by", "similarity"), F.struct("similarity", -F.col("by"))).alias("near"))
     semantic = F.col("basis") == "semantic"
     done = done.join(near, "position", "left").withColumn("blame", F.when(semantic, F.col("near.by")).otherwise(F.col("blame")))
     blamed = rows.select(F.col("position").alias("blame"), F.col("id").alias("existing_offer_id"))
