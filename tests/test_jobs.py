@@ -406,7 +406,7 @@ def test_streams(spark, tmp_path):
     assert rows_of(once) == [(0,), (1,), (2,), (3,)]
     tries = jobs.read(spark, src, events.schema, files_per_batch=1).selectExpr("source_id AS raw_item_id", "ts", "seq", "seq = 29 AS permanent", "error AS reason")
     got = jobs.drained(jobs.retry_counts(tries, max_attempts=8), "retry_t", mode="update", keys=["raw_item_id"])
-    assert rows_of(got) == [(0, 8, True, "e28"), (1, 8, True, "e29"), (2, 7, False, "e26"), (3, 7, False, "e27")]
+    assert rows_of(got.drop("reasons")) == [(0, 8, True, "e28"), (1, 8, True, "e29"), (2, 7, False, "e26"), (3, 7, False, "e27")]
     raw_schema = tables(spark)[0].schema
     items = spark.range(20).selectExpr("id % 2 AS source_id", "cast(id % 5 as string) AS external_id", "concat('p', id) AS raw_payload", "id AS seq")
     items.write.parquet(f"{tmp_path}/items")
@@ -425,15 +425,6 @@ def test_streams(spark, tmp_path):
     cursors.replace(lambda old: start, start, -1)
     jobs.pull(spark, f"{tmp_path}/msgs", f"{tmp_path}/out", cursors, f"{tmp_path}/cp2", schema=msgs.schema, available_now=True).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 25 and rows_of(cursors.read()) == [("c0", 30), ("c1", 29)]
-    leases = spark.createDataFrame([(1, NOW, "claimed"), (2, NOW, "claimed"), (2, NOW + dt.timedelta(minutes=1), "sent")], "dispatch_id long, ts timestamp, event string")
-    leases.coalesce(1).write.parquet(f"{tmp_path}/leases")
-    q = jobs.lease_expiry(jobs.read(spark, f"{tmp_path}/leases", leases.schema), minutes=0.01).writeStream.outputMode("update").format("memory").queryName("leases_t").trigger(processingTime="1 second").start()
-    for _ in range(40):  # the time-out needs batches after the first
-        if spark.table("leases_t").filter("event = 'expired'").count():
-            break
-        q.awaitTermination(1)
-    q.stop()
-    assert rows_of(spark.table("leases_t").filter("event = 'expired'")) == [(1, "expired")]
 
 
 @pytest.mark.parametrize("parts", [1, 7])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import offers as O
 from ..functions.text import clean_text, fence, prefilter_reason
 from ..functions.urls import clean_url, extract_urls
+from .state import written
 
 CONTRACT = "struct<text:string,urls:array<string>,author_handle:string,published_at:string,engagement:string,extra:string>"
 
@@ -26,10 +27,25 @@ def is_repo(extra: Column) -> Column:
     return F.coalesce(F.get_json_object(extra, "$.is_repo") == "true", F.lit(False))
 
 
+def final_urls(resolutions: DataFrame, *, max_hops: int = 1024) -> DataFrame:
+    """Redirects (original, final) -> original, final: where following them ends. What runs into a circle, or goes over more than ``max_hops``, is left out.
+
+    Of several targets of one URL the least counts. Pointer jumping: each round doubles the hops of all pointers, so a chain of
+    50 takes six rounds.
+    """
+    hops = written(resolutions.filter("final is not null and original <> final").groupBy("original").agg(F.min("final").alias("final")), "hops")
+    for _ in range(max_hops.bit_length()):
+        ahead = hops.select(F.col("original").alias("final"), F.col("final").alias("far"))
+        hops = written(hops.select("original", "final").join(ahead, "final", "left").select("original", F.coalesce("far", "final").alias("final"), F.col("far").isNotNull().alias("moved")), "hops")
+        if hops.filter("moved").isEmpty():
+            return hops.select("original", "final")
+    return hops.filter("not moved").select("original", "final")
+
+
 def canonicalize(urls: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """url -> final (as resolved, else itself) and canonical; ``resolutions`` (original, final) joins on distinct URLs."""
+    """url -> final (as redirects end, else itself) and canonical; ``resolutions`` (original, final) joins on distinct URLs."""
     once = urls.select("url").distinct()
-    final = once.join(resolutions.select(F.col("original").alias("url"), "final").dropDuplicates(["url"]), "url", "left").withColumn("final", F.coalesce("final", "url"))
+    final = once.join(final_urls(resolutions).withColumnRenamed("original", "url"), "url", "left").withColumn("final", F.coalesce("final", "url"))
     return urls.join(final.withColumn("canonical_url", clean_url(F.col("final"))), "url", "left")
 
 

@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import dedup, dispatch, extract, report, select, state
 from ..sources import captures, feeds
-from ..streaming import jobs
+from ..streaming import jobs, messages
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +178,7 @@ def per_source_cap(spark, sf_dir):
     return select.cap_per_group(T.table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", per_group=25)
 
 
-@query("SELECT d.doc_id FROM posts d WHERE NOT EXISTS (SELECT 1 FROM posts o WHERE o.url = d.url AND o.source = d.source AND o.doc_id % 3 = 0 AND o.doc_id % 20 < 14)")
+@query(", seen AS (SELECT source, url, count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 20 < 14) AS n FROM posts GROUP BY source, url) SELECT p.doc_id FROM posts p JOIN seen s ON s.source = p.source AND s.url = p.url WHERE s.n = 0")
 def unseen_pages(spark, sf_dir):
     """Pages that their source has not brought in the last 14 days."""
     posts = T.posts(spark, sf_dir).select("doc_id", F.col("source").alias("source_id"), "url")
@@ -471,33 +471,79 @@ def run_audit(spark, sf_dir):
 # --- streams: drained to a table, against their batch twins ---------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = T.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+def _stream(df: DataFrame, by: str) -> DataFrame:
+    """``df`` as a stream of three micro-batches in order of ``by``."""
+    return jobs.read(df.sparkSession, T.landed(df, "landed", by), df.schema, files_per_batch=1)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT CAST(ts AS date) AS day, count(*) AS n FROM events GROUP BY 1")
 def daily_stream(spark, sf_dir):
-    return jobs.drained(jobs.daily_counts(_stream(spark, sf_dir), time_col="ts"), "daily_stream", mode="complete")
+    rows = _stream(_events(spark, sf_dir), "ts")
+    return jobs.drained(jobs.daily_counts(rows, time_col="ts"), "daily_stream", mode="complete")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedup_stream(spark, sf_dir):
     """Keys seen within a window as long as the table."""
-    return jobs.drained(jobs.suppress_repeats(_stream(spark, sf_dir), keys=["user_id", "event_type"], time_col="ts", within="36500 days").select("user_id", "event_type"), "dedup_stream", mode="append")
+    rows = _stream(_events(spark, sf_dir), "ts")
+    return jobs.drained(jobs.suppress_repeats(rows, keys=["user_id", "event_type"], time_col="ts", within="36500 days").select("user_id", "event_type"), "dedup_stream", mode="append")
 
 
 @query(ORACLE_SQL["source_health"].removeprefix(T.VIEWS))
 def health_stream(spark, sf_dir):
-    rows = _stream(spark, sf_dir).selectExpr("user_id AS source_id", "ts", "event_id AS seq", "event_id % 3 = 0 AS ok", "concat('error ', event_type) AS error")
+    rows = _stream(T.health_events(spark, sf_dir), "ts")
     return jobs.drained(jobs.source_health(rows), "health_stream", mode="update", keys=["source_id"])
 
 
-@query("SELECT raw_item_id, count(*) AS attempts, arg_max(permanent, {'t': ts, 's': seq}) OR count(*) >= 3 AS dead, arg_max(reason, {'t': ts, 's': seq}) AS reason FROM tries GROUP BY 1")
+@query("SELECT raw_item_id, sum(n)::bigint AS attempts, arg_max(permanent, last) OR sum(n) >= 3 AS dead, arg_max(reason, last) AS reason, string_agg(reason || ':' || n, ',' ORDER BY reason) AS reasons FROM (SELECT raw_item_id, reason, count(*) AS n, max({'t': ts, 's': seq}) AS last, arg_max(permanent, {'t': ts, 's': seq}) AS permanent FROM tries GROUP BY ALL) GROUP BY 1")
 def retry_stream(spark, sf_dir):
-    rows = _stream(spark, sf_dir).selectExpr("event_id % 1000 + 1 AS raw_item_id", "ts", "event_id AS seq", "event_type AS reason", "event_id % 11 = 0 AS permanent")
+    rows = _stream(T.attempts(spark, sf_dir), "ts")
     return jobs.drained(jobs.retry_counts(rows), "retry_stream", mode="update", keys=["raw_item_id"])
 
 
-from . import feed_queries  # noqa: E402, F401  registers its own
+@query(""", e AS (SELECT user_id AS dispatch_id, CAST(ts AS timestamp) AS t, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'failed' ELSE 'sent' END AS event FROM events),
+n AS (SELECT *, lead(t) OVER (PARTITION BY dispatch_id ORDER BY t, event) AS next FROM e)
+SELECT dispatch_id, event, t AS "at" FROM e UNION ALL SELECT dispatch_id, 'expired', t + INTERVAL 15 MINUTE FROM n WHERE event = 'claimed' AND (next > t + INTERVAL 15 MINUTE OR next IS NULL AND t + INTERVAL 16 MINUTE <= (SELECT max(t) FROM e))""")
+def lease_stream(spark, sf_dir):
+    """Claims that nothing answers in 15 minutes end, by event-time timers."""
+    rows = _events(spark, sf_dir).selectExpr("user_id AS dispatch_id", "ts", "CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'failed' ELSE 'sent' END AS event")
+    return jobs.drained(jobs.lease_expiry(_stream(rows, "ts")), "lease_stream", mode="append")
+
+
+@query("SELECT source, doc_id % 100 AS slot, max(doc_id) AS newest FROM documents GROUP BY ALL")
+def upsert_stream(spark, sf_dir):
+    """Raw items upserted batch by batch."""
+    rows = T.table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), (F.col("doc_id") % 100).cast("string").alias("external_id"), F.col("doc_id").cast("string").alias("raw_payload"), F.col("doc_id").alias("seq"))
+    base = state.scratch(spark, "upsert_stream")
+    schema = "source_id string, external_id string, raw_payload string, fetched_at timestamp"
+    table = jobs.Table(spark, f"{base}/table", schema, keys=["source_id", "external_id"])
+    jobs.ingest(spark, T.landed(rows, "landed", "seq"), table, f"{base}/checkpoint", schema=rows.schema, files_per_batch=1, available_now=True).awaitTermination()
+    return table.read().select(F.col("source_id").alias("source"), F.col("external_id").cast("long").alias("slot"), F.col("raw_payload").cast("long").alias("newest"))
+
+
+@query("SELECT CAST(conv_id % 20 AS varchar) AS channel, conv_id * 1000 + turn + 1 AS message_id, text FROM conversations")
+def pulled_messages(spark, sf_dir):
+    """Messages of channels that land in two parts; the second pull goes on where the first one's cursors are."""
+    rows = T.table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id % 20 AS string) AS channel", "conv_id * 1000 + turn + 1 AS message_id", "text")
+    base = state.scratch(spark, "pulled_messages")
+    middle = rows.select(F.percentile_approx("message_id", 0.5)).first()[0] or 0
+    for early in (True, False):
+        rows.filter((F.col("message_id") <= middle) == F.lit(early)).repartition(4).write.mode("append").partitionBy("channel").parquet(f"{base}/land")
+        got = jobs.drained(messages.pulled(spark, f"{base}/land"), "pulled_messages", mode="append", base=f"{base}/pull")
+    return got
+
+
+@query("SELECT id, category, title AS message FROM offers")
+def sent_messages(spark, sf_dir):
+    """Messages through the sink that commits each batch once, read back from committed files."""
+    rows = T.offers(spark, sf_dir).select("id", "category", F.col("title").alias("message"))
+    base = state.scratch(spark, "sent_messages")
+    messages.send(_stream(rows, "id"), f"{base}/sent", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return messages.sent_messages(spark, f"{base}/sent", "id long, category string, message string")
+
+
+from . import feed_queries, more_queries  # noqa: E402, F401  register their own

@@ -5,16 +5,17 @@ Each takes a source folder, a sink and a checkpoint; with ``available_now`` it d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.state import advance_cursors, scratch, upsert_raw_items
+from .stateful import PROVIDER, lease_expiry, retry_counts, source_health
+
+__all__ = ["Table", "daily_counts", "drained", "ingest", "lease_expiry", "pull", "read", "retry_counts", "source_health", "suppress_repeats"]
 
 
 def read(spark: SparkSession, source: str, schema, *, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -74,13 +75,13 @@ class Table:
                     fs.delete(where, True)
 
 
-def ingest(spark: SparkSession, source: str, table: Table, checkpoint: str, *, schema, available_now: bool = False) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, table: Table, checkpoint: str, *, schema, files_per_batch: int = 100, available_now: bool = False) -> StreamingQuery:
     """Raw items (source_id, external_id, raw_payload, seq) are upserted batch by batch; ``table`` has those keys."""
 
     def batch(df: DataFrame, n: int) -> None:
         table.replace(lambda old: upsert_raw_items(old, df, as_of=F.current_timestamp()), df, n)
 
-    return _start(read(spark, source, schema).writeStream.foreachBatch(batch), checkpoint, available_now)
+    return _start(read(spark, source, schema, files_per_batch=files_per_batch).writeStream.foreachBatch(batch), checkpoint, available_now)
 
 
 def pull(spark: SparkSession, source: str, sink: str, cursors: Table, checkpoint: str, *, schema, available_now: bool = False) -> StreamingQuery:
@@ -105,83 +106,23 @@ def daily_counts(events: DataFrame, *, time_col: str, late: str = "1 day") -> Da
     return events.withWatermark(time_col, late).groupBy(F.window(time_col, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
 
 
-HEALTH = "source_id long, last_success timestamp, last_error timestamp, last_error_message string, consecutive_failures long"
-_HEALTH_STATE = "last_success timestamp, last_error timestamp, message string, failures long"
-
-
-def _health(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    good, bad, message, failures = state.get if state.exists else (None, None, None, 0)
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"], kind="stable")
-    for ts, ok, error in zip(rows["ts"], rows["ok"], rows["error"]):
-        ts = ts.to_pydatetime()
-        if ok:
-            good, failures = ts if good is None else max(good, ts), 0
-        else:
-            bad, message, failures = ts if bad is None else max(bad, ts), error if isinstance(error, str) else "unknown error", failures + 1
-    state.update((good, bad, message, failures))
-    yield pd.DataFrame({"source_id": [key[0]], "last_success": [good], "last_error": [bad], "last_error_message": [message], "consecutive_failures": [failures]})
-
-
-def source_health(events: DataFrame) -> DataFrame:
-    """Health of each source after each batch (update mode); a batch's events are taken in order of time."""
-    rows = events.select("source_id", "ts", "seq", "ok", "error")
-    return rows.groupBy("source_id").applyInPandasWithState(_health, HEALTH, _HEALTH_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-RETRY = "raw_item_id long, attempts long, dead boolean, reason string"
-
-
-def retry_counts(attempts: DataFrame, *, max_attempts: int = 3) -> DataFrame:
-    """Attempts of each item after each batch; dead at the ceiling or by a final reason."""
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (n,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"], kind="stable")
-        n += len(rows)
-        state.update((n,))
-        yield pd.DataFrame({"raw_item_id": [key[0]], "attempts": [n], "dead": [bool(rows["permanent"].iloc[-1]) or n >= max_attempts], "reason": [rows["reason"].iloc[-1]]})
-
-    rows = attempts.select("raw_item_id", "ts", "seq", "permanent", "reason")
-    return rows.groupBy("raw_item_id").applyInPandasWithState(fold, RETRY, "attempts long", "update", GroupStateTimeout.NoTimeout)
-
-
-LEASE = "dispatch_id long, event string"
-
-
-def _lease(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"dispatch_id": [key[0]], "event": ["expired"]})
-        return
-    rows = pd.concat(list(pdfs)).sort_values("ts", kind="stable")
-    if rows["event"].iloc[-1] == "claimed":
-        state.update((1,))
-        state.setTimeoutDuration(timeout_ms)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame({"dispatch_id": [key[0]], "event": [rows["event"].iloc[-1]]})
-
-
-def lease_expiry(events: DataFrame, *, minutes: float = 15) -> DataFrame:
-    """Events (dispatch_id, ts, event: claimed, sent or failed); a claim without an outcome gives ``expired`` after its time."""
-
-    def fold(key, pdfs, state):
-        return _lease(key, pdfs, state, int(minutes * 60_000))
-
-    return events.groupBy("dispatch_id").applyInPandasWithState(fold, LEASE, "claims long", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def drained(df: DataFrame, name: str, *, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """What a stream gives until its source is empty, as files in the shared folder: all rows (append), the last
-    batch's (complete), or the last row of each of ``keys`` (update)."""
-    base = scratch(df.sparkSession, name)
+def drained(df: DataFrame, name: str, *, mode: str, keys: list[str] | None = None, base: str | None = None) -> DataFrame:
+    """What a stream gives until its source is empty, as files in the shared folder (or under ``base``, to go on there later): all rows (append),
+    the last batch's (complete), or the last row of each of ``keys`` (update). State is kept in RocksDB."""
+    spark = df.sparkSession
+    base = base or scratch(spark, name)
 
     def batch(rows: DataFrame, n: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/rows/__batch={n}")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
     fields = StructType([*df.schema.fields, StructField("__batch", LongType())])
-    rows = df.sparkSession.read.schema(fields).parquet(f"{base}/rows")
+    rows = spark.read.schema(fields).parquet(f"{base}/rows")
     if mode == "complete":
         rows = rows.join(F.broadcast(rows.agg(F.max("__batch").alias("__batch"))), "__batch", "left_semi")  # one row
     if mode == "update":
