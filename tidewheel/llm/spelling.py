@@ -9,8 +9,8 @@ many levels as there are branches on its way.
 
 The search is a table of states (word, position, node, edits). Level by level it is joined with the
 edges on the node: a state with no edit goes on along equal labels, or along a label that one replaced or
-deleted character makes equal; a state with an edit goes on along equal labels only, and only if its
-next character has an edge there. A state whose rest equals the last edge is a neighbour. Inserted
+deleted character makes equal; a state with an edit goes on along equal labels only, and only to a node
+that has words of its length and ending and an edge for what follows. A state whose rest equals the last edge is a neighbour. Inserted
 characters are the deleted ones of the other word. Hashes only propose: neighbours are compared as
 words, and equal hashes add edges but lose none. A node has at most an edge for each character, so a
 prefix that a third of all words share grows in proportion, and Spark may split its states.
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Stands for a word's end among the next characters of a node; no word holds it.
+#: Stands for a word's end when looking ahead; no word holds it.
 END = "."
+#: Characters of a last edge that are looked at ahead.
+LOOK = 8
 
 
 def variant_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 7, min_count: int = 2, every: int = 31) -> DataFrame:
@@ -57,22 +59,41 @@ def _both_ways(words: DataFrame) -> DataFrame:
     return words.select(F.inline(ways))
 
 
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(n, F.lit(64)).cast("int"))
+
+
+def _ending(s: Column, length: Column) -> Column:
+    """One of 64 bits for a word's length and last three characters."""
+    return _bit(F.xxhash64(s.substr(F.length(s) - 2, F.lit(3)), length))
+
+
+def _head(rest: Column) -> Column:
+    """What is kept of a last edge's label to look ahead: its first characters, or all and its end."""
+    return F.concat(F.lit(","), F.concat(rest.substr(1, LOOK), F.lit(END)).substr(1, LOOK), F.lit(","))
+
+
 def trie_edges(marked: DataFrame) -> DataFrame:
-    """Edges (node, depth, s, to, child, nexts): the label is s[depth:to]; a last edge has no child and s is its word.
+    """Edges (node, depth, head, label, m, s, to, child, mask, firsts, nexts, tails): the label is s[depth:to], of m characters, head its first one's code; a last edge has no child and s is its word.
 
-    ``marked``: words s with the depth ``half`` from which on nodes are wanted.
+    ``marked``: words s with the depth ``half`` from which on nodes are wanted. To look ahead: ``mask`` has bits for the endings of all
+    words below the child, ``firsts`` for the first characters of its edges, ``nexts`` are those of its edges to nodes, ``tails`` the heads of its last edges.
     """
-    at = marked.select("s", F.explode(F.sequence("half", F.length("s"))).alias("k"))
-    steps = at.select(_prefix("s", F.col("k")).alias("node"), "k", F.col("s").substr(F.col("k") + 1, F.lit(1)).alias("char"), "s")
+    at = marked.select("s", _ending(F.col("s"), F.length("s")).alias("mask"), F.explode(F.sequence("half", F.length("s"))).alias("k"))
+    steps = at.select(_prefix("s", F.col("k")).alias("node"), "k", F.col("s").substr(F.col("k") + 1, F.lit(1)).alias("char"), "s", "mask")
     # a hash stands for one depth; of colliding prefixes each depth is a node of its own
-    children = steps.groupBy("node", "k", "char").agg(F.count("*").alias("n"), F.min("s").alias("s"))
-    nodes = children.groupBy("node", "k").agg(F.sum("n").alias("below"), F.collect_list(F.struct("char", "n", "s")).alias("edges")).filter("below > 1")
-    nodes = written(nodes.select("node", "k", "edges", F.concat_ws("", F.transform("edges", lambda e: F.when(e["char"] == "", END).otherwise(e["char"]))).alias("nexts")), "trie")
+    children = steps.groupBy("node", "k", "char").agg(F.count("*").alias("n"), F.min("s").alias("s"), F.bit_or("mask").alias("mask"))
+    nodes = children.groupBy("node", "k").agg(F.sum("n").alias("below"), F.collect_list(F.struct("char", "n", "s", "mask")).alias("edges")).filter("below > 1")
+    nexts = F.array_join(F.transform(F.filter("edges", lambda e: e["n"] > 1), lambda e: e["char"]), "")
+    tails = F.array_join(F.transform(F.filter("edges", lambda e: e["n"] == 1), lambda e: _head(e["s"].substr(F.col("k") + 1, F.length(e["s"])))), "")
+    firsts = F.aggregate("edges", F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(_bit(F.ascii(e["char"]))))
+    nodes = written(nodes.select("node", "k", "edges", firsts.alias("firsts"), nexts.alias("nexts"), tails.alias("tails")), "trie")
     flat = nodes.select("node", F.col("k").alias("depth"), F.inline("edges"))
-    last = flat.filter("n = 1").select("node", "depth", "s", F.length("s").alias("to"), F.lit(None).cast("long").alias("child"), F.lit(None).cast("string").alias("nexts"))
-    inner = flat.filter("n > 1").select("node", "depth", "s", (F.col("depth") + 1).alias("to"), _prefix("s", F.col("depth") + 1).alias("child"))
+    last = flat.filter("n = 1").select("node", "depth", "s", F.length("s").alias("to"), F.lit(None).cast("long").alias("child"), "mask", F.lit(None).cast("long").alias("firsts"), F.lit(None).cast("string").alias("nexts"), F.lit(None).cast("string").alias("tails"))
+    inner = flat.filter("n > 1").select("node", "depth", "s", "mask", (F.col("depth") + 1).alias("to"), _prefix("s", F.col("depth") + 1).alias("child"))
     # chains: a node with one edge leads on to that edge's end
-    chain = written(nodes.filter("size(edges) = 1").select(F.col("node").alias("child"), F.col("k").alias("to"), (F.col("k") + 1).alias("new_to"), _prefix_of_first().alias("new_child")), "chains")
+    first = F.xxhash64(F.col("edges")[0]["s"].substr(F.lit(1), F.col("k") + 1))
+    chain = written(nodes.filter("size(edges) = 1").select(F.col("node").alias("child"), F.col("k").alias("to"), (F.col("k") + 1).alias("new_to"), first.alias("new_child")), "chains")
     while True:
         ahead = chain.select(F.col("child").alias("new_child"), F.col("to").alias("new_to"), F.col("new_to").alias("far"), F.col("new_child").alias("far_child"))
         longer = chain.join(ahead, ["new_child", "new_to"], "left").select("child", "to", F.coalesce("far", "new_to").alias("new_to"), F.coalesce("far_child", "new_child").alias("new_child"), F.col("far").isNotNull().alias("moved"))
@@ -80,38 +101,44 @@ def trie_edges(marked: DataFrame) -> DataFrame:
         chain = longer.drop("moved")
         if longer.filter("moved").isEmpty():
             break
-    inner = inner.join(chain, ["child", "to"], "left").select("node", "depth", "s", F.coalesce("new_to", "to").alias("to"), F.coalesce("new_child", "child").alias("child"))
-    nexts = nodes.select(F.col("node").alias("child"), F.col("k").alias("to"), "nexts")
-    return written(inner.join(nexts, ["child", "to"]).select(*last.columns).unionByName(last), "edges")
-
-
-def _prefix_of_first() -> Column:
-    """The node behind the first edge of a row of nodes."""
-    return F.xxhash64(F.col("edges")[0]["s"].substr(F.lit(1), F.col("k") + 1))
+    inner = inner.join(chain, ["child", "to"], "left").select("node", "depth", "s", F.coalesce("new_to", "to").alias("to"), F.coalesce("new_child", "child").alias("child"), "mask")
+    ahead = nodes.select(F.col("node").alias("child"), F.col("k").alias("to"), "firsts", "nexts", "tails")
+    edges = inner.join(ahead, ["child", "to"]).select(*last.columns).unionByName(last)
+    m = F.col("to") - F.col("depth")
+    edges = edges.withColumns({"m": m, "label": F.col("s").substr(F.col("depth") + 1, m)}).withColumn("head", F.ascii("label"))
+    return written(edges, "edges")
 
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one level (s, at, node, depth, edits), and found words (s, found)."""
-    e = edges.select("node", "depth", F.col("s").alias("other"), "to", "child", "nexts")
-    s, at, m = F.col("s"), F.col("at"), F.col("to") - F.col("depth")
-    label = F.col("other").substr(F.col("depth") + 1, m)
-    same, more, rest = s.substr(at + 1, m), s.substr(at + 1, m + 1), s.substr(at + 1, F.length("s"))
-    clean = F.col("edits") == 0
-    one_off = F.levenshtein(same, label, 1) == 1
-    shorter = (F.length(more) == m + 1) & (F.levenshtein(more, label, 1) == 1)
-
-    def next_state(when: Column, used: Column, edits: Column) -> Column:
-        after = s.substr(at + used + 1, F.lit(1))
-        goes_on = (edits == 0) | F.contains(F.col("nexts"), F.when(after == "", END).otherwise(after))
-        return F.when(when & goes_on, F.struct((at + used).alias("at"), F.col("child").alias("node"), F.col("to").alias("depth"), edits.cast("int").alias("edits")))
-
-    onward = F.array_compact(F.array(next_state(same == label, m, F.col("edits")), next_state(clean & one_off & (F.length(same) == m), m, F.lit(1)), next_state(clean & shorter, m + 1, F.lit(1))))
-    left = F.length(rest) - m
-    hit = F.when(clean, left.isin(0, 1) & (F.levenshtein(rest, label, 1) == 1)).otherwise(rest == label)
-    is_last = F.col("child").isNull()
-    moved = states.join(e, ["node", "depth"]).select("s", F.when(is_last & hit, F.col("other")).alias("found"), F.when(~is_last, onward).otherwise(F.array()).alias("onward"))
-    moved = moved.filter("found is not null or size(onward) > 0")
-    return moved.select("s", "found", F.inline_outer("onward"))
+    """The states (s, at, node, depth, edits) after one level, and found words (s, found)."""
+    s, at = F.col("s"), F.col("at")
+    code = lambda k: F.ascii(s.substr(at + k, F.lit(1)))
+    ends = _ending(s, F.length("s")).bitwiseOR(_ending(s, F.length("s") - 1))  # a found word is as long or shorter by one
+    states = states.select("s", "at", "node", "depth", "edits", F.length("s").alias("size"), code(1).alias("next"), code(2).alias("second"), _bit(code(2)).alias("then"), ends.alias("ends"))
+    e = edges.withColumnsRenamed({"node": "from", "depth": "from_depth", "s": "other"})
+    m, label, clean, is_last = F.col("m"), F.col("label"), F.col("edits") == 0, F.col("child").isNull()
+    ends_alike = F.col("mask").bitwiseAND(F.col("ends")) != 0
+    left = F.col("size") - at
+    # numbers only, for each pair of a state and an edge: an edit at the edge's first character leaves endings alike, and one that is all of a label is followed by an edge
+    at_first = F.when(is_last, (left - m).isin(0, 1) & ((m < 4) | ends_alike)).otherwise(((left < 5) | ends_alike) & ((m > 1) | (F.col("firsts").bitwiseAND(F.col("then")) != 0) | (F.col("head") == F.col("second"))))
+    meets = (F.col("node") == F.col("from")) & (F.col("depth") == F.col("from_depth")) & ((F.col("head") == F.col("next")) | (clean & at_first))
+
+    same, more, rest = s.substr(at + 1, m), s.substr(at + 1, m + 1), s.substr(at + 1, F.col("size"))
+    kind = "struct<found:string,at:int,node:bigint,depth:int,edits:int>"
+
+    def go(when: Column, used: Column, edits: Column) -> Column:
+        now = at + used
+        after = s.substr(now + 1, F.lit(LOOK))
+        follows = (F.contains("nexts", after.substr(1, 1)) & (after != "")) | F.contains("tails", _head(after))
+        return F.when(when & ((edits == 0) | (((F.col("size") - now < 3) | ends_alike) & follows)), F.struct(F.lit(None).cast("string").alias("found"), now.alias("at"), F.col("child").alias("node"), F.col("to").alias("depth"), edits.cast("int").alias("edits")).cast(kind))
+
+    # a deleted character before an equal label's end is the next level's, where it comes first
+    replaced = clean & (label != same) & (F.length(same) == m) & ((m == 1) | (F.levenshtein(same, label, 1) == 1))
+    deleted = clean & (label != same) & (F.length(more) == m + 1) & F.when(m == 1, F.col("head") == F.col("second")).otherwise(F.levenshtein(more, label, 1) == 1)
+    hit = F.when(clean, (left - m).isin(0, 1) & (F.levenshtein(rest, label, 1) == 1)).otherwise(rest == label)
+    found = F.when(hit, F.struct(F.col("other").alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("node", "long"), ("depth", "int"), ("edits", "int"))]).cast(kind))
+    onward = F.when(is_last, F.array(found)).otherwise(F.array(go(label == same, m, F.col("edits")), go(replaced, m, F.lit(1)), go(deleted, m + 1, F.lit(1))))
+    return states.join(e, meets).select("s", F.inline(F.array_compact(onward)))
 
 
 def near_words(words: DataFrame) -> DataFrame:
