@@ -8,7 +8,7 @@ from ..functions import fixed_values as V
 from ..functions import offers as O
 from ..functions import signals as S
 from ..functions import text as X
-from ..operators import dispatch, extract, state
+from ..operators import dispatch, extract, report, state
 from ..sources import feeds
 from . import tables as T
 from .queries import _re2, query
@@ -106,3 +106,18 @@ def newest_channels(spark, sf_dir):
     from pyspark.sql import Window
 
     return top.withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("id"))))
+
+
+@query("""SELECT category, count(*) AS n, true AS median_holds, true AS p90_holds, true AS handles_hold FROM offers o JOIN dispatches d ON d.offer_id = o.id WHERE status = 'sent' AND CAST(sent_at AS date) BETWEEN DATE '1995-01-01' AND DATE '1997-06-30' GROUP BY category""")
+def sketched_latency(spark, sf_dir):
+    """Counts of a range of days from stored sketches, and whether their quantiles (rank within 3 %) and distinct handles (within 5 %) hold against the exact ones."""
+    o, d = T.offers(spark, sf_dir), T.dispatches(spark, sf_dir)
+    first, last = F.lit("1995-01-01").cast("date"), F.lit("1997-06-30").cast("date")
+    stored = state.written(report.daily_sketches(o, d), "daily_sketches")
+    got = report.from_sketches(stored, first=first, last=last)
+    sent = d.filter("status = 'sent'").select(F.col("offer_id").alias("id"), "sent_at").filter(F.to_date("sent_at").between(first, last))
+    h = (F.col("sent_at").cast("double") - F.col("first_seen").cast("double")) / 3600
+    rows = o.join(sent, "id").select("category", h.alias("h"), "author_handle")
+    ranks = rows.join(got.select("category", "median_h", "p90_h"), "category").groupBy("category").agg(*[(F.count_if(F.col("h") < F.col(c)) / F.count("*")).alias(f"{c}_low") for c in ("median_h", "p90_h")], *[(F.count_if(F.col("h") <= F.col(c)) / F.count("*")).alias(f"{c}_high") for c in ("median_h", "p90_h")], F.count_distinct("author_handle").alias("distinct"))
+    holds = lambda c, q: (F.col(f"{c}_low") <= q + 0.03) & (F.col(f"{c}_high") >= q - 0.03)
+    return got.join(ranks, "category").select("category", "n", holds("median_h", 0.5).alias("median_holds"), holds("p90_h", 0.9).alias("p90_holds"), (F.abs(F.col("handles") - F.col("distinct")) <= 0.05 * F.col("distinct")).alias("handles_hold"))
