@@ -4,7 +4,8 @@ Built-in functions only. The models (first order, over 64 character classes) are
 labelled samples of bounded size: strings that the fixed rules find in ``sample_docs`` documents
 are random strings, other words of ``word_docs`` documents, shorter than a token to judge, ordinary identifiers. Every whole text is then
 scanned in one pass without a shuffle: long tokens whose mean log-likelihood ratio a
-transition, as written and in small letters, exceeds ``min_ratio`` are added to the spans of the fixed rules.
+transition exceeds ``min_ratio`` (those in capitals also in small letters) are added to the spans of the fixed rules. The
+default of ``min_ratio`` lies between planted random strings and planted identifiers (see the tests).
 
 Defined results: null text is empty and has no span; without any labelled string the models
 are equal and add nothing; a null id is carried along; repeated rows are scanned alike.
@@ -126,7 +127,8 @@ def model_spans(text: Column, base: Column, ratios: list[float], min_ratio: floa
         return F.aggregate(_pairs(F.array(found)), F.lit(0.0), lambda acc, p: acc + F.get(table, p)) / (F.length(found) - 1)
 
     def likely(s: Column) -> Column:  # a name is as ordinary in capitals as in small letters
-        return F.least(mean(s["found"]), mean(F.lower(s["found"]))) > min_ratio
+        capitals = ~s["found"].rlike("[a-z]")
+        return (mean(s["found"]) > min_ratio) & (~capitals | (mean(F.lower(s["found"])) > min_ratio))
 
     return F.filter(F.filter(found, likely), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
@@ -135,7 +137,7 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, word_docs: int = 1_000, min_ratio: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, word_docs: int = 1_000, min_ratio: float = -1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, the columns in ``keep``, ``base`` and ``all_spans`` (start, rank, end, kind, found)."""
     ratios = log_ratios(docs, id_col, text_col, sample_docs, word_docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
