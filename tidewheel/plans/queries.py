@@ -257,9 +257,24 @@ def semantic_pairs(spark, sf_dir):
     return dedup.semantic_pairs(vectors, threshold=0.4).select("a", "b")
 
 
-@query()
+#: The loop itself: a row a step, with the list of what has been accepted.
+_GREEDY_SQL = f""", items AS (SELECT doc_id AS id, {_clean_sql('url')} AS u, CASE WHEN coalesce(split_part(text, chr(10), 1), '') <> '' AND coalesce(source, '') <> '' THEN lower(split_part(text, chr(10), 1)) || ':' || source END AS t, doc_id % 10 = 0 AS known FROM posts),
+unit AS (SELECT vec_id, CAST(embedding AS double[]) AS v FROM embeddings),
+near AS (SELECT a.vec_id AS id, list({{'s': list_cosine_similarity(a.v, b.v), 'p': CASE WHEN b.vec_id % 10 = 0 THEN b.vec_id + 1 ELSE -b.vec_id END, 'id': b.vec_id}}) AS near
+  FROM unit a JOIN unit b ON a.vec_id % 10 > 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 10 = 0 OR b.vec_id < a.vec_id) AND list_cosine_similarity(a.v, b.v) >= 0.45 JOIN items ON items.id = b.vec_id GROUP BY a.vec_id),
+queue AS (SELECT row_number() OVER (ORDER BY i.id) AS k, i.*, ku.id AS ku, kt.id AS kt, coalesce(near, []) AS near FROM items i LEFT JOIN (SELECT u, max(id) AS id FROM items WHERE known GROUP BY u) ku USING (u) LEFT JOIN (SELECT t, min(id) AS id FROM items WHERE known GROUP BY t) kt USING (t) LEFT JOIN near ON near.id = i.id WHERE NOT known)
+SELECT id, basis IS NOT NULL AS is_dup, basis, CASE basis WHEN 'url' THEN hu WHEN 'title' THEN ht WHEN 'semantic' THEN hs.id END AS existing_offer_id, CASE WHEN basis = 'semantic' THEN round(hs.s, 4) END AS similarity FROM (
+WITH RECURSIVE run AS (SELECT 0::bigint AS k, NULL::bigint AS id, NULL::varchar AS basis, NULL::bigint AS hu, NULL::bigint AS ht, NULL::STRUCT(s double, p bigint, id bigint) AS hs, []::STRUCT(id bigint, u varchar, t varchar)[] AS accepted
+UNION ALL SELECT k, id, basis, hu, ht, hs, CASE WHEN basis IS NULL THEN list_append(accepted, {{'id': id, 'u': u, 't': t}}) ELSE accepted END FROM (
+SELECT *, CASE WHEN hu IS NOT NULL THEN 'url' WHEN ht IS NOT NULL THEN 'title' WHEN hs IS NOT NULL THEN 'semantic' END AS basis FROM (
+SELECT q.k, q.id, q.u, q.t, accepted, coalesce(q.ku, list_filter(accepted, lambda x: x.u = q.u)[1].id) AS hu, coalesce(q.kt, list_filter(accepted, lambda x: x.t = q.t)[1].id) AS ht,
+list_sort(list_filter(q.near, lambda n: n.p > 0 OR list_contains(list_transform(accepted, lambda x: x.id), n.id)), 'DESC')[1] AS hs
+FROM run JOIN queue q ON q.k = run.k + 1))) SELECT * FROM run WHERE k > 0)"""
+
+
+@query(_GREEDY_SQL)
 def greedy_dedup(spark, sf_dir):
-    """All three gates over documents and embeddings, a tenth of them known offers (no SQL: an order-dependent resolution; the tests hold it against a loop)."""
+    """All three gates over documents and embeddings, a tenth of them known offers."""
     vectors = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     title = F.split("text", "\n")[0]
     posts = T.posts(spark, sf_dir, title.alias("title")).join(vectors, "doc_id", "left")
