@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import fixed_values as V
@@ -100,11 +101,13 @@ def sent_today(offers: DataFrame, dispatches: DataFrame, *, channel: str, catego
 def diversify(candidates: DataFrame, *, k: int, lane_col: str) -> DataFrame:
     """Of each lane (candidates with position and tags) the k that cover most new tags, greedily; ties to the least position.
 
-    k rounds, each one aggregate over all candidates that finds the best of every lane; lanes are
+    Of rows with the same tags only the k of least position can be picked, so the others go first (each task drops its own before
+    the shuffle). Then k rounds, each one aggregate that finds the best of every lane; lanes are
     categories, so what the driver holds (k picks a lane and their tags) is bounded.
     """
     spark = candidates.sparkSession
-    rows = written(candidates, "candidates")
+    alike = W.partitionBy(lane_col, F.array_sort("tags")).orderBy("position")
+    rows = written(candidates.withColumn("__place", F.row_number().over(alike)).filter(F.col("__place") <= k).drop("__place"), "candidates")
     keys = rows.select(lane_col, "position")
     none = F.array().cast("array<string>")
     picks: dict = {}
