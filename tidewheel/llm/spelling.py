@@ -101,9 +101,9 @@ def trie_edges(marked: DataFrame) -> DataFrame:
         chain = longer.drop("moved")
         if longer.filter("moved").isEmpty():
             break
-    inner = inner.join(chain, ["child", "to"], "left").select("node", "depth", "s", F.coalesce("new_to", "to").alias("to"), F.coalesce("new_child", "child").alias("child"), "mask")
+    inner = inner.join(chain.hint("shuffle_hash"), ["child", "to"], "left").select("node", "depth", "s", F.coalesce("new_to", "to").alias("to"), F.coalesce("new_child", "child").alias("child"), "mask")
     ahead = nodes.select(F.col("node").alias("child"), F.col("k").alias("to"), "firsts", "nexts", "tails")
-    edges = inner.join(ahead, ["child", "to"]).select(*last.columns).unionByName(last)
+    edges = inner.join(ahead.hint("shuffle_hash"), ["child", "to"]).select(*last.columns).unionByName(last)
     m = F.col("to") - F.col("depth")
     edges = edges.withColumns({"m": m, "label": F.col("s").substr(F.col("depth") + 1, m)}).withColumn("head", F.ascii("label"))
     return written(edges, "edges")
@@ -138,7 +138,8 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     hit = F.when(clean, (left - m).isin(0, 1) & (F.levenshtein(rest, label, 1) == 1)).otherwise(rest == label)
     found = F.when(hit, F.struct(F.col("other").alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("node", "long"), ("depth", "int"), ("edits", "int"))]).cast(kind))
     onward = F.when(is_last, F.array(found)).otherwise(F.array(go(label == same, m, F.col("edits")), go(replaced, m, F.lit(1)), go(deleted, m + 1, F.lit(1))))
-    return states.join(e, meets).select("s", F.inline(F.array_compact(onward)))
+    # a node has few edges, so a hash table of edges by node is even, and neither side is sorted
+    return states.join(e.hint("shuffle_hash"), meets).select("s", F.inline(F.array_compact(onward)))
 
 
 def near_words(words: DataFrame) -> DataFrame:
