@@ -11,8 +11,8 @@ from . import fixed_values as V
 
 
 def has_any(text: Column, words: list[str]) -> Column:
-    """Whether the lower-cased text holds one of the words, anywhere."""
-    return _holds(F.lower(F.coalesce(text, F.lit(""))), [(w,) for w in words])
+    """Whether the lower-cased text holds one of the words, anywhere. The text is folded once, not again for each word."""
+    return F.exists(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: _holds(low, [(w,) for w in words]))
 
 
 def _holds(low: Column, sets: list[tuple[str, ...]]) -> Column:
