@@ -432,3 +432,16 @@ def test_partition_counts_do_not_matter(spark, parts):
     raw, sources, offers = tables(spark)
     got = select.fetch_unprocessed(raw.repartition(parts), sources, offers, limit=9)
     assert {r.id for r in got.collect()} == {1, 4, 6, 7, 34, 36, 37, 39, 40}
+
+
+def test_title_search(spark):
+    """As a plain search, for short, odd and missing words; few postings are read for rare ones."""
+    from tidewheel.operators import search
+
+    titles = [None, "", "ab", "Free GPU credits", "free gpu", "GPU free", "100% off_now", "100 percent", "Straße frei", "aaaa", "aaa"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    postings = search.trigram_postings(rows).persist()
+    for q in ("free gpu", "FREE", "ab", "", "0% o", "_", "straße", "aaaa", "aaa", "zzz", "gpu credits"):
+        got = {r.id for r in search.search_titles(rows, postings, q).collect()}
+        assert got == {i for i, t in enumerate(titles) if t is not None and q.lower() in t.lower()}, q
+    assert search.candidates(postings, "aaaa").count() == 2 and search.candidates(postings, "gpu credits").count() == 1

@@ -8,7 +8,7 @@ from ..functions import fixed_values as V
 from ..functions import offers as O
 from ..functions import signals as S
 from ..functions import text as X
-from ..operators import dispatch, extract, report, state
+from ..operators import dispatch, extract, report, search, state
 from ..sources import feeds
 from . import tables as T
 from .queries import _re2, query
@@ -121,3 +121,12 @@ def sketched_latency(spark, sf_dir):
     ranks = rows.join(got.select("category", "median_h", "p90_h"), "category").groupBy("category").agg(*[(F.count_if(F.col("h") < F.col(c)) / F.count("*")).alias(f"{c}_low") for c in ("median_h", "p90_h")], *[(F.count_if(F.col("h") <= F.col(c)) / F.count("*")).alias(f"{c}_high") for c in ("median_h", "p90_h")], F.count_distinct("author_handle").alias("distinct"))
     holds = lambda c, q: (F.col(f"{c}_low") <= q + 0.03) & (F.col(f"{c}_high") >= q - 0.03)
     return got.join(ranks, "category").select("category", "n", holds("median_h", 0.5).alias("median_holds"), holds("p90_h", 0.9).alias("p90_holds"), (F.abs(F.col("handles") - F.col("distinct")) <= 0.05 * F.col("distinct")).alias("handles_hold"))
+
+
+@query("SELECT p_partkey AS id, title FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' no. ' || p_partkey AS title FROM part) WHERE contains(lower(title), 'brand#1')")
+def title_search(spark, sf_dir):
+    """Titles that hold some words, by a stored trigram table."""
+    title = F.concat_ws(" ", "p_name", "p_brand", F.lit("no."), F.col("p_partkey").cast("string"))
+    rows = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title.alias("title"))
+    postings = state.written(search.trigram_postings(rows), "trigrams")
+    return search.search_titles(rows, postings, "Brand#1")
