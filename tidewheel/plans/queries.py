@@ -336,12 +336,17 @@ def diverse_pick(spark, sf_dir):
 
 
 @query("""SELECT id, 'Order ' || (id % 501) || ' of ' || category AS title, CASE WHEN value IS NULL THEN '—' ELSE 'USD ' || format('{:,}', CAST(round_even(value, 0) AS bigint)) END AS value,
-CASE WHEN expires_at < TIMESTAMP '1998-08-02' THEN '⚠️ Expired ' || CAST(-floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 86400) AS bigint) || 'd ago' WHEN epoch(expires_at - TIMESTAMP '1998-08-02') < 3600 THEN '⏰ ' || CAST(floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 60) AS bigint) || 'm left' WHEN epoch(expires_at - TIMESTAMP '1998-08-02') < 86400 THEN '⏰ ' || CAST(floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 3600) AS bigint) || 'h left' ELSE '⏰ In ' || CAST(floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 86400) AS bigint) || 'd' END AS expires, 6583435 AS color FROM offers""")
+CASE WHEN expires_at < TIMESTAMP '1998-08-02' THEN '⚠️ Expired ' || CAST(-floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 86400) AS bigint) || 'd ago' WHEN epoch(expires_at - TIMESTAMP '1998-08-02') < 3600 THEN '⏰ ' || CAST(floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 60) AS bigint) || 'm left' WHEN epoch(expires_at - TIMESTAMP '1998-08-02') < 86400 THEN '⏰ ' || CAST(floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 3600) AS bigint) || 'h left' ELSE '⏰ In ' || CAST(floor(epoch(expires_at - TIMESTAMP '1998-08-02') / 86400) AS bigint) || 'd' END AS expires, 6583435 AS color,
+'```P' || id || '```' AS code, '`http://b.io/' || id || '`' AS base_url, 'o/r' || id AS repo, '""" + next(c[1] for c in V.CATEGORIES if c[0] == "other") + """ ' || CASE category WHEN '1-URGENT' THEN '1-Urgent' WHEN '2-HIGH' THEN '2-High' WHEN '3-MEDIUM' THEN '3-Medium' WHEN '4-NOT SPECIFIED' THEN '4-Not Specified' ELSE '5-Low' END || ' · Credit' AS type, 'a • b' AS requirements, '1. open' || chr(10) || '2. claim ' || id AS steps FROM offers""")
 def rendered_messages(spark, sf_dir):
-    df = T.offers(spark, sf_dir).withColumns({"offer_type": F.lit("credit"), "currency": F.lit("USD"), "requirements": F.lit('["none"]'), "url": F.lit("http://a.b/"), "canonical_url": F.lit(None).cast("string"), "description": F.lit("d"), "source_name": F.lit("s")})
+    """All eight fields of a message, its title and colour."""
+    i = F.col("id").cast("string")
+    raw = F.to_json(F.struct(F.concat(F.lit("P"), i).alias("promo_code"), F.concat(F.lit("http://b.io/"), i).alias("base_url"), F.concat(F.lit("o/r"), i).alias("github_repo"), F.array(F.lit("open"), F.concat(F.lit("claim "), i)).alias("exact_steps")))
+    df = T.offers(spark, sf_dir).withColumns({"raw": raw, "offer_type": F.lit("credit"), "currency": F.lit("USD"), "requirements": F.lit('["a","b"]'), "url": F.lit("http://a.b/"), "canonical_url": F.lit(None).cast("string"), "description": F.lit("d"), "source_name": F.lit("s")})
     m = F.from_json("message", "title string, color int, fields array<struct<name:string,value:string,inline:boolean>>")
     field = lambda name: F.filter(F.col("m.fields"), lambda f: f["name"] == name)[0]["value"]
-    return dispatch.render_embeds(df, as_of=T.as_of()).select("id", m.alias("m")).select("id", "m.title", field("💰 Value").alias("value"), field("⏳ Expires").alias("expires"), "m.color")
+    named = {"value": "💰 Value", "expires": "⏳ Expires", "code": "🎟 Promo Code", "base_url": "🔗 API Base URL", "repo": "📦 Repository", "type": "🏷 Type", "requirements": "✅ Requirements", "steps": "📋 How to claim"}
+    return dispatch.render_embeds(df, as_of=T.as_of()).select("id", m.alias("m")).select("id", "m.title", "m.color", *[field(name).alias(c) for c, name in named.items()])
 
 
 # --- reports ------------------------------------------------------------------------------------------
