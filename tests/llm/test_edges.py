@@ -79,7 +79,7 @@ def test_added_secrets_by_hand(spark):
     found = flagged = 0
     for r in secret_spans(docs, keep=("text",)).collect():
         base = [(s.start, s.end) for s in r.base]
-        want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_+/-]{20,}", r.text) if mean(m[0]) > -1 and (re.search("[a-z]", m[0]) or mean(m[0].lower()) > -1)]
+        want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_+/-]{20,}", r.text) if mean(m[0]) > 0 and (re.search("[a-z]", m[0]) or mean(m[0].lower()) > 0)]
         want = [(a, b) for a, b in want if not any(a < y and x < b for x, y in base)]
         got = [(s.start, s.end) for s in r.all_spans if s.kind == "markov"]
         assert got == want
