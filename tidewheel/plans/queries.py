@@ -128,8 +128,10 @@ def clean_texts(spark, sf_dir):
     return T.spread(T.table(spark, sf_dir, "pages")).select("page_id", X.clean_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""SELECT page_id, CAST(pos AS int) AS pos, href FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS pos FROM (
+SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '<a [^>]*href="([^"]*)"', 1), lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS l FROM pages))""")
 def page_links(spark, sf_dir):
+    """All links of whole pages, relative ones too."""
     return T.spread(T.table(spark, sf_dir, "pages")).select("page_id", F.posexplode(X.html_links(F.col("html"))).alias("pos", "href"))
 
 
