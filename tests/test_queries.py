@@ -25,7 +25,7 @@ def test_every_sql_belongs_to_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["post_outcomes", "clean_urls", "url_gate", "title_gate", "claimed_offers", "funnel", "source_health", "captured_posts", "validated_offers", "diverse_pick", "forum_posts", "articles", "free_models", "page_extracts", "manual_posts", "feed_items", "profile_posts", "written_offers", "fingerprints", "batch_replies", "resolved_urls", "health_stream", "normalized_titles", "greedy_dedup", "semantic_pairs", "unseen_pages", "mentioned_repos", "normalized_items", "time_labels", "retry_stream", "lease_stream", "upsert_stream", "pulled_messages", "sent_messages", "sketched_latency"])
+@pytest.mark.parametrize("name", ["post_outcomes", "clean_urls", "url_gate", "title_gate", "claimed_offers", "funnel", "source_health", "captured_posts", "validated_offers", "diverse_pick", "forum_posts", "articles", "free_models", "page_extracts", "manual_posts", "feed_items", "profile_posts", "written_offers", "fingerprints", "batch_replies", "resolved_urls", "health_stream", "normalized_titles", "greedy_dedup", "semantic_pairs", "unseen_pages", "mentioned_repos", "normalized_items", "time_labels", "retry_stream", "lease_stream", "upsert_stream", "pulled_messages", "sent_messages", "sketched_latency", "page_links", "title_search", "rendered_messages"])
 def test_rows_match_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     want = duck.sql(__spark_entry__.oracle_sql()[name])
