@@ -355,6 +355,37 @@ def test_language_models_keep_all_grams_and_languages(spark):
     assert {r.lang_pred for r in identify_languages(docs).collect()} == {"big", *made}
 
 
+def test_language_models_and_limits_come_from_all_training_texts(spark):
+    """Against models and limits in one piece: no text is left out of the counts, none of the limits."""
+    from tidewheel.llm.langid import Model, identify_languages, keys
+
+    rng = np.random.default_rng(12)
+    stems = {"aa": ["lorma", "pilto", "sendu", "kar", "vi"], "bb": ["xuqe", "zhor", "wexi", "jaq", "yy"], "cc": ["mumu", "papa"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[lang], 2)) + "".join(chr(97 + x) for x in rng.integers(0, 26, i % 4)) for _ in range(12)), lang) for i, lang in ((i, ["aa", "bb"][i % 2]) for i in range(1500))]
+    rows += [(3000 + i, " ".join("".join(rng.choice(stems["cc"], 2)) for _ in range(3)), "cc") for i in range(40)]  # too few for a limit
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def fit(of):
+        return {g: Model.fit(*np.unique(keys([t for _, t, lang in of if lang == g])[0], return_counts=True)) for g in stems}
+
+    def entropy(models, text):
+        return min((-np.log(Model.probability(m, keys([text])[0], 4)).mean(), g) for g, m in models.items())
+
+    whole, halves = fit(train), [fit([r for r in train if half[r[0]] == h]) for h in (0, 1)]
+    limits = {"cc": np.inf}
+    for g in ("aa", "bb"):
+        mine = sorted(e for e, best in (entropy(halves[1 - half[i]], t) for i, t, lang in train if lang == g) if best == g)
+        limits[g] = mine[len(mine) - int(0.01 * len(mine)) - 1]
+    got = {r.doc_id: r for r in identify_languages(docs, reject_share=0.01).collect()}
+    for i, text, _ in rows:
+        e, best = entropy(whole, text)
+        assert got[i].lang_pred == best and abs(got[i].cross_entropy - e) < 1e-5
+        assert got[i].rejected == (e > limits[best]) or abs(e - limits[best]) < 1e-5
+    assert 0 < sum(r.rejected for r in got.values()) < 40 and sum(half.values()) > 600
+
+
 def test_toxicity(spark):
     from tidewheel.llm.toxicity import fit_noisy_or, toxicity_scores
 
