@@ -237,6 +237,38 @@ def test_encoder_is_the_tokenizer(tokenizer):
                 assert np.array_equal(ids[a:b], encoded(tokenizer, t)), t
 
 
+def test_encoder_learns_parts_once(tokenizer):
+    """Capitals, signs and digits around known words need no more of the tokenizer; a full table keeps what it leads to."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tidewheel.llm.tokenfile import Encoder
+    from tidewheel.llm.words import flat
+
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcdefghijklmnopé\u00df"), 6)) for _ in range(200)})
+    tails = ["", ",", ".", ")...", "-x", "7", "42", "!?"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = Encoder(path, 1, 1 << 12)
+    asked = []
+    encode.part = lambda p, part=encode.part: asked.append(p) or part(p)
+    encode.whole = lambda runs, whole=encode.whole: asked.extend(runs) or whole(runs)
+    for case in (str, str.capitalize, str.upper):
+        texts = [case(w) + t for t in tails for w in words if case(w).lower() == w] + ["", " "]
+        ids, off = encode(*flat(pa.array(texts)))
+        for t, a, b in zip(texts, off, off[1:]):
+            assert np.array_equal(ids[a:b], encoded(tokenizer, t)), t
+    assert len(asked) <= 1.2 * (len(words) + 20)
+    for k in range(30):
+        new = [" ".join("".join(rng.choice(list("qrstuvwxyz"), 8)) for _ in range(100)) for _ in range(10)]
+        for texts in (new, words):
+            asked.clear()
+            ids, off = encode(*flat(pa.array(texts)))
+            assert all(np.array_equal(ids[a:b], encoded(tokenizer, t)) for t, a, b in zip(texts, off, off[1:]))
+        assert encode.n <= 2 * 4096 + 1100 and len(asked) <= len(words) // 2
+    assert [x.tolist() for x in encode(*flat(pa.array(["", None])))] == [[1, 1], [0, 1, 2]]
+
+
 def test_token_files_read_what_is_asked_for(spark, tokenizer, tmp_path):
     from tidewheel.llm.tokenfile import FrameReader, register, write_token_files
 

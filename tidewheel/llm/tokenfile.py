@@ -30,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import scratch
 from .warc import filesystem
-from .words import second_hashes, slices, split_words
+from .words import Words, bounded, second_hashes, slices, split_words
 
 MANIFEST = "_committed"
 #: Fixed values of zstandard's skippable frames and of its seekable format.
@@ -50,17 +51,29 @@ _COLUMNS = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 #: Fixed value: the pattern of the tokenizer that the short way knows.
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Runs of Latin letters, digits and ASCII signs, which normalising leaves as they are but for capitals, and the pattern on them.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: The same by bytes: the kind of each (a run of other bytes is not parted, nor is one with an apostrophe, which may start a part before letters), and its small letter.
+_LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_KIND[[ord("'"), 0x97, 0xB7]] = _OTHER  # after 0xC3 the last two are signs that are not ASCII
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[[*range(0x41, 0x5B), *range(0x80, 0x9F)]] += 0x20  # after 0xC3
 
 
 class Encoder:
     """Ids of texts: those of the tokenizer, which only sees what has not been looked up before.
 
-    White space never enters a token, so each run of other characters is encoded once and then found by
-    its 128-bit hash in a table of ``slots`` places, where a new run takes the place of an older one. A
-    plain run is parted by the tokenizer's own pattern and its parts go to the tokenizer's model; any other run goes the
-    tokenizer's whole way.
+    White space never enters a token. A run of other characters that is plain and without an apostrophe is
+    parted by kind of character, as the tokenizer's own pattern does, in small letters; any other run is one
+    piece. Each piece is encoded once and then found by its 128-bit hash in a table of ``slots`` places, where
+    a new one takes the place of an older one. Parts go to the tokenizer's model; other plain runs are parted
+    by the pattern first; all others go the tokenizer's whole way.
     """
 
     def __init__(self, path: str, end_id: int, slots: int = 1 << 20):
@@ -71,62 +84,115 @@ class Encoder:
         self.added = [t["content"] for t in setup["added_tokens"]]
         lower = any(n.get("type") == "Lowercase" for n in (setup.get("normalizer") or {}).get("normalizers", []))
         self.short = lower and json.dumps(_PATTERN)[1:-1] in json.dumps(setup.get("pre_tokenizer") or {})
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        of_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.latin = str.maketrans({c: of_bytes(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.model = self.tokenizer.model
         self.end_id, self.slots = end_id, slots
-        self.clear()
+        self.hash, self.hash2 = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.at = np.zeros(slots, np.int64)
+        self.parts: dict[str, list[int]] = {}
+        self.ids, self.n_ids = np.array([end_id], np.uint32), 1
+        self.first, self.size, self.n = np.zeros(1, np.int64), np.ones(1, np.int64), 1
 
-    def clear(self) -> None:
-        self.hash, self.hash2 = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
-        self.at = np.zeros(self.slots, np.int64)
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.ids = np.array([self.end_id], np.uint32)
-        self.first = np.zeros(1, np.int64)
-        self.size = np.ones(1, np.int64)
+    def part(self, p: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.latin))]
 
-    def part(self, p: str) -> tuple[int, ...]:
+    def known_part(self, p: str) -> list[int]:
         found = self.parts.get(p)
         if found is None:
-            found = self.parts[p] = tuple(t.id for t in self.tokenizer.model.tokenize(p if p.isascii() else self.bytes(p)[0][0]))
+            found = self.parts[p] = self.part(p)
         return found
 
-    def learn(self, new: list[str]) -> np.ndarray:
-        """Places of the new runs among all that are held."""
-        plain = [self.short and _PLAIN.fullmatch(r) is not None and not any(a in r for a in self.added) for r in new]
-        other = iter(self.tokenizer.encode_batch_fast([r for r, ok in zip(new, plain) if not ok], add_special_tokens=False))
-        found = [[i for p in _PARTS.findall(r.lower()) for i in self.part(p)] if ok else next(other).ids for r, ok in zip(new, plain)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        base, at = len(self.ids), len(self.size)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))])
-        self.first = np.concatenate([self.first, base + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        return np.arange(at, at + len(new))
+    def whole(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs that are not parted yet."""
+        plain = [self.short and _PLAIN.fullmatch(r) is not None and not any(a in r for a in self.added) for r in runs]
+        other = iter(self.tokenizer.encode_batch_fast([r for r, ok in zip(runs, plain) if not ok], add_special_tokens=False))
+        return [[i for p in _PARTS.findall(r.lower()) for i in self.known_part(p)] if ok else next(other).ids for r, ok in zip(runs, plain)]
+
+    def append(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of new pieces, whose ids follow each other, among all that are held; arrays grow by doubling."""
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        if self.n + len(size) > len(self.size):
+            more = np.zeros(max(len(self.size), len(size)), np.int64)
+            self.first, self.size = np.concatenate([self.first, more]), np.concatenate([self.size, more])
+        places = np.arange(self.n, self.n + len(size))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.first[places], self.size[places] = self.n_ids + np.cumsum(size) - size, size
+        self.n_ids, self.n = self.n_ids + len(ids), self.n + len(size)
+        return places
+
+    def compact(self) -> None:
+        """Drops what no place of the table leads to any more."""
+        live = np.flatnonzero(self.at)
+        size = self.size[self.at[live]]
+        ids = self.ids[spans(self.first[self.at[live]], size)]
+        self.n_ids = self.n = 1
+        self.at[live] = self.append(ids, size)
+
+    def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
+        """What is looked up, and which of it are parts."""
+        if not self.short:
+            w = split_words(data, off)
+            return w, np.zeros(len(w.start), bool)
+        kind, raw = _KIND[data], data.tobytes()
+        for a in self.added:
+            at = raw.find(a.encode())
+            while at >= 0:
+                kind[at] = _OTHER
+                at = raw.find(a.encode(), at + 1)
+        w = split_words(_SMALL[data], off)
+        odd = np.zeros(len(w.start), bool)
+        odd[np.searchsorted(w.start, np.flatnonzero(kind == _OTHER), "right") - 1] = True
+        if odd.any():  # these runs keep their capitals
+            inside = spans(w.start[odd], w.end[odd] - w.start[odd])
+            small = w.data
+            small[inside] = data[inside]
+            w = split_words(small, off)
+        cut = np.flatnonzero(((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
+        run = np.searchsorted(w.start, cut, "right") - 1
+        cut = cut[~odd[run] & (w.start[run] != cut)]
+        start, end = np.sort(np.concatenate([w.start, cut])), np.sort(np.concatenate([w.end, cut]))
+        return bounded(w, start, end), ~odd[np.searchsorted(w.start, start, "right") - 1]
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts that ``off`` delimits in ``data``, an end id after each text's, and the offsets of texts among ids."""
-        if len(self.size) > self.slots:
-            self.clear()
+        if self.n > 2 * self.slots:
+            self.compact()
         if len(self.parts) > self.slots // 4:
             self.parts.clear()
-        w = split_words(data, off)
+        w, parted = self.pieces(data, off)
         h, h2 = w.hash, second_hashes(w).hash
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         found = np.where((self.hash[slot] == h) & (self.hash2[slot] == h2), self.at[slot], 0)
         miss = np.flatnonzero(found == 0)
         if len(miss):
             _, one, back = np.unique(np.column_stack([h[miss], h2[miss]]).view("V16").ravel(), return_index=True, return_inverse=True)
-            raw, one = data.tobytes(), miss[one]
-            places = self.learn([raw[a:b].decode() for a, b in zip(w.start[one].tolist(), w.end[one].tolist())])
+            raw, one = w.data.tobytes(), miss[one]
+            by = np.argsort(~parted[one], kind="stable")  # parts first
+            n_parts = int(parted[one].sum())
+            new = [raw[a:b].decode() for a, b in zip(w.start[one[by]].tolist(), w.end[one[by]].tolist())]
+            learned = [*map(self.part, new[:n_parts]), *self.whole(new[n_parts:])]
+            size = np.fromiter(map(len, learned), np.int64, len(learned))
+            places = np.empty(len(one), np.int64)
+            places[by] = self.append(np.fromiter(chain.from_iterable(learned), np.uint32, int(size.sum())), size)
             found[miss] = places[back.ravel()]
             self.hash[slot[one]], self.hash2[slot[one]], self.at[slot[one]] = h[one], h2[one], places
         n = len(w.first) - 1
-        which = np.zeros(len(found) + n, np.int64)  # 0 is the end id, after each text's runs
+        which = np.zeros(len(found) + n, np.int64)  # 0 is the end id, after each text's pieces
         which[np.arange(len(found)) + w.doc] = found
         size = self.size[which]
         to = np.cumsum(size)
-        ids = self.ids[np.repeat(self.first[which] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+        ids = self.ids[spans(self.first[which], size)]
         return ids, np.concatenate([[0], to[w.first[1:] + np.arange(n)]])
 
 
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indexes first .. first + size - 1, span after span."""
+    to = np.cumsum(size)
+    return np.repeat(first - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, end_id: int) -> Encoder:
     """One for all tasks of a worker."""
