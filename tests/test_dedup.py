@@ -64,6 +64,18 @@ def test_a_chain_of_10_000_links(spark):
     assert len(jobs) < 60  # Spark counts a job for each shuffle; rounds would take 5,000 of several
 
 
+def test_rounds_do_not_grow_the_plan(spark):
+    """A chain takes a round for two rows; the result reads as many folders after six rounds as after four."""
+
+    def chain(n):
+        rows = [(i, i, f"u{i // 2}", f"t{(i + 1) // 2}", i if i % 3 else None) for i in range(-1, n)]
+        got = dedup.greedy(spark.createDataFrame(rows, ROWS), spark.createDataFrame([(i, i + 3) for i in range(1, n - 3)], "a long, b long"), in_one_task=0)
+        assert {r.position: (r.id, r.accepted, r.basis, r.blame) for r in got.collect()} == loop(rows, [(i, i + 3) for i in range(1, n - 3)])
+        return got._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert chain(12) == chain(8)
+
+
 @pytest.mark.parametrize("in_one_task", [10**6, 5])
 def test_components(spark, in_one_task):
     rng = np.random.default_rng(3)

@@ -3,7 +3,7 @@
 An item is a duplicate only of an accepted one, so the result is the lexicographically first
 maximal independent set in position order. Items that no chain of shared keys or near vectors joins
 do not depend on each other: connected components are found first, each one of bounded size is resolved in
-order by one task, and only larger ones go in rounds of key minima over their open rows. Equal vectors are a
+order by one task, and only larger ones go in rounds of key minima over their open rows, until these are few. Equal vectors are a
 key like a URL; nearness is a relation of distinct vectors, so copies never make pairs.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.offers import sha256_hex
 from .components import connected_components
-from .state import written
+from .state import scratch, written
 from .vectors import near_classes, semantic_pairs, vector_classes
 
 __all__ = ["dedup", "greedy", "recent", "semantic_pairs", "title_gate", "url_gate"]
@@ -68,17 +68,42 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()))], [c.split()[0] for c in RESOLVED.split(", ")]) if out else pa.record_batch([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64())], [c.split()[0] for c in RESOLVED.split(", ")])
 
 
-def _in_rounds(rows: DataFrame, near: DataFrame) -> list[DataFrame]:
+def _deciding(taken: DataFrame, left: DataFrame, near: DataFrame) -> DataFrame:
+    """The open rows, and of the accepted ones the first of each key and near class that they have."""
+    columns = left.columns
+    around = left.select(F.col("vec").alias("a")).distinct().join(near, "a").select(F.col("b").alias("vec")).distinct()
+    parts = [left]
+    for key, wanted in (*((k, left.select(k).distinct()) for k in KEYS[:2]), ("vec", around)):
+        parts.append(taken.join(wanted, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), "position").alias("row")).select("row.*"))
+    return reduce(DataFrame.unionAll, parts).dropDuplicates(["position"])
+
+
+def _in_rounds(rows: DataFrame, near: DataFrame, in_one_task: int) -> list[DataFrame]:
     """The same for components of any size: who is first by all keys and has no open earlier neighbour is accepted, who shares a key
-    with an accepted earlier row is a duplicate, until none is open. Closed rows are not written again."""
+    with an accepted earlier row is a duplicate, until none is open. Closed rows are not written again. Once what is open and what decides about it
+    is few rows, it is resolved in order. Rounds add to the same two folders, so that a plan does not grow with them."""
+    spark = rows.sparkSession
     state = rows.select("id", "position", *KEYS)
-    taken = written(state.filter("position < 0").withColumn("accepted", F.lit(True)), "taken")
+    folders = {"taken": scratch(spark, "taken"), "closed": scratch(spark, "closed")}
+
+    def added(name: str, more: DataFrame) -> DataFrame:
+        more.write.mode("append").parquet(folders[name])
+        return spark.read.schema(more.schema).parquet(folders[name])
+
+    known = state.filter("position < 0")
+    taken = added("taken", known)
+    closed = added("closed", known.select("id", "position", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("basis"), F.lit(None).cast("long").alias("blame")))
     left = written(state.filter("position >= 0"), "open")
     near = written(near.unionAll(rows.filter("vec is not null").select(F.col("vec").alias("a"), F.col("vec").alias("b"))).distinct(), "near")
-    done = [taken.select("id", "position", "accepted", F.lit(None).cast("string").alias("basis"), F.lit(None).cast("long").alias("blame"))]
     open_rows = left.count()
     while open_rows:
-        alive = taken.unionAll(left.withColumn("accepted", F.lit(False)))
+        if open_rows <= in_one_task // 2:
+            rest = written(_deciding(taken, left, near), "rest")
+            if rest.count() <= in_one_task:
+                classes = rest.filter("vec is not null").select("vec").distinct()
+                edges = near.filter("a < b").join(classes.withColumnRenamed("vec", "a"), "a", "left_semi").join(classes.withColumnRenamed("vec", "b"), "b", "left_semi")
+                return [closed, greedy(rest, edges.select("a", "b"), in_one_task=in_one_task).join(left.select("position"), "position", "left_semi").select(closed.columns)]
+        alive = taken.withColumn("accepted", F.lit(True)).unionAll(left.withColumn("accepted", F.lit(False)))
 
         def first(key: str) -> DataFrame:
             return alive.filter(f"{key} is not null").groupBy(key).agg(F.min_by(F.struct("position", "accepted"), "position").alias(f"{key}_first"))
@@ -102,13 +127,13 @@ def _in_rounds(rows: DataFrame, near: DataFrame) -> list[DataFrame]:
         accept = F.coalesce(lead("url_key") & lead("title_key"), F.lit(False)) & basis.isNull() & ~waits
         dup = basis.isNotNull() & (hit("url_key").isNotNull() | settled)
         step = written(now.select("id", "position", *KEYS, accept.alias("accepted"), F.when(dup, basis).alias("basis"), F.when(dup, F.coalesce(hit("url_key"), hit("title_key"), near_hit)).alias("blame"), (accept | dup).alias("closed")), "greedy")
-        done.append(step.filter("closed").select("id", "position", "accepted", "basis", "blame"))
-        taken = taken.unionAll(step.filter("accepted").select(*taken.columns))
+        closed = added("closed", step.filter("closed").select(closed.columns))
+        taken = added("taken", step.filter("accepted").select(taken.columns))
         left = step.filter("not closed").select("id", "position", *KEYS)
         before, open_rows = open_rows, left.count()
         if open_rows >= before:
             raise RuntimeError(f"a round of the greedy resolution settled none of {open_rows} open rows")
-    return done
+    return [closed]
 
 
 def greedy(candidates: DataFrame, edges: DataFrame, *, in_one_task: int = 100_000) -> DataFrame:
@@ -145,7 +170,7 @@ def greedy(candidates: DataFrame, edges: DataFrame, *, in_one_task: int = 100_00
     large = grouped.filter(F.col("n") > in_one_task)
     if not large.isEmpty():
         own = large.select("vec").distinct()
-        parts += _in_rounds(large, edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(own.withColumnRenamed("vec", "a"), "a", "left_semi"))
+        parts += _in_rounds(large, edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(own.withColumnRenamed("vec", "a"), "a", "left_semi"), in_one_task)
     return reduce(DataFrame.unionAll, parts).filter("position >= 0")
 
 
