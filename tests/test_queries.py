@@ -49,3 +49,24 @@ def test_scans_read_only_what_is_used(spark):
     with contextlib.redirect_stdout(text):
         __spark_entry__.queries()["url_flags"](spark, SF).explain("formatted")
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text.getvalue()
+
+
+def held_against_sql(spark, folder, name, **tables):
+    """The query and its SQL over some tables made here."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in set(TABLES) - set(tables):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for t, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = __spark_entry__.queries()[name](spark, str(folder))
+    want = con.sql(__spark_entry__.oracle_sql()[name])
+    at = [want.columns.index(c) for c in df.columns]
+    return sorted(map(tuple, df.collect())), sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_pages_of_one_url_have_their_own_redirects(spark, tmp_path):
+    rows = [(i, f"https://a.example/{i % 5}/?b=1", "") for i in range(24)]
+    got, want = held_against_sql(spark, tmp_path, "resolved_urls", pages=("page_id long, url string, html string", rows))
+    assert got == want and len(got) == 24

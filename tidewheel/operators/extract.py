@@ -27,26 +27,26 @@ def is_repo(extra: Column) -> Column:
     return F.coalesce(F.get_json_object(extra, "$.is_repo") == "true", F.lit(False))
 
 
-def final_urls(resolutions: DataFrame, *, max_hops: int = 1024) -> DataFrame:
+def final_urls(resolutions: DataFrame, *, max_hops: int = 1024, by: tuple[str, ...] = ()) -> DataFrame:
     """Redirects (original, final) -> original, final: where following them ends. What runs into a circle, or goes over more than ``max_hops``, is left out.
 
     Of several targets of one URL the least counts. Pointer jumping: each round doubles the hops of all pointers, so a chain of
-    50 takes six rounds.
+    50 takes six rounds. ``by``: columns within which redirects hold (a page's, a crawl's), where a URL may lead elsewhere than in others.
     """
-    hops = written(resolutions.filter("final is not null and original <> final").groupBy("original").agg(F.min("final").alias("final")), "hops")
+    hops = written(resolutions.filter("final is not null and original <> final").groupBy(*by, "original").agg(F.min("final").alias("final")), "hops")
     for _ in range(max_hops.bit_length()):
-        ahead = hops.select(F.col("original").alias("final"), F.col("final").alias("far"))
-        hops = written(hops.select("original", "final").join(ahead, "final", "left").select("original", F.coalesce("far", "final").alias("final"), F.col("far").isNotNull().alias("moved")), "hops")
+        ahead = hops.select(*by, F.col("original").alias("final"), F.col("final").alias("far"))
+        hops = written(hops.select(*by, "original", "final").join(ahead, [*by, "final"], "left").select(*by, "original", F.coalesce("far", "final").alias("final"), F.col("far").isNotNull().alias("moved")), "hops")
         if hops.filter("moved").isEmpty():
-            return hops.select("original", "final")
-    return hops.filter("not moved").select("original", "final")
+            return hops.select(*by, "original", "final")
+    return hops.filter("not moved").select(*by, "original", "final")
 
 
-def canonicalize(urls: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """url -> final (as redirects end, else itself) and canonical; ``resolutions`` (original, final) joins on distinct URLs."""
-    once = urls.select("url").distinct()
-    final = once.join(final_urls(resolutions).withColumnRenamed("original", "url"), "url", "left").withColumn("final", F.coalesce("final", "url"))
-    return urls.join(final.withColumn("canonical_url", clean_url(F.col("final"))), "url", "left")
+def canonicalize(urls: DataFrame, resolutions: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """url -> final (as redirects end, else itself) and canonical; ``resolutions`` (original, final) joins on distinct URLs, each within its columns ``by``."""
+    once = urls.select(*by, "url").distinct()
+    final = once.join(final_urls(resolutions, by=by).withColumnRenamed("original", "url"), [*by, "url"], "left").withColumn("final", F.coalesce("final", "url"))
+    return urls.join(final.withColumn("canonical_url", clean_url(F.col("final"))), [*by, "url"], "left")
 
 
 def item_prompt(text: Column, urls: Column, *, cut: int = 3000) -> Column:
