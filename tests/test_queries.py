@@ -70,3 +70,10 @@ def test_pages_of_one_url_have_their_own_redirects(spark, tmp_path):
     rows = [(i, f"https://a.example/{i % 5}/?b=1", "") for i in range(24)]
     got, want = held_against_sql(spark, tmp_path, "resolved_urls", pages=("page_id long, url string, html string", rows))
     assert got == want and len(got) == 24
+
+
+def test_titles_of_letters_with_odd_capitals(spark, tmp_path):
+    texts = [f"{c}eit und mehr" for c in "ßŉǰΐﬁᾳᾀƛıǆςéя"] + ["ß" * 150 + "x" * 100, "ΟΔΟΣ ΚΑΙ ΛΟΓΟΣ", "İSTANBUL VE İZMİR", "\x1c\x1fabc def\x1d", "• 1. ß", "", None, "\nx"]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    got, want = held_against_sql(spark, tmp_path, "normalized_titles", documents=("doc_id long, text string, lang string, source string, n_chars int", rows))
+    assert got == want and got[0] == (0, "ẞeit und mehr")

@@ -101,3 +101,8 @@ STOP_WORDS = [
     "not", "but", "app", "api", "ml", "llm", "tool", "tools", "open", "source", "free", "github", "repo", "repos", "cli", "sdk", "lib", "library",
     "framework", "based", "using", "model", "models", "project", "code", "data", "self", "hosted", "awesome", "list", "simple", "fast", "best",
 ]
+
+#: Small letters whose capital is one character by Unicode's simple mapping and several by the full one, and those capitals.
+SMALL, CAPITAL = "ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ"
+#: Small letters that got a capital in Unicode 16 only, which some engines do not know.
+WITHOUT_CAPITAL = ("ƛ", "ɤ")
